@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -12,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabgraph.runtime import free, scratch_root, written
+
+__all__ = ["bounded_sample", "fold", "fold_py", "free", "load", "row_pass", "scratch_root", "written"]
+
 #: Rows that a Python pass turns into Python objects at once; bounds its memory, not its input.
 SLICE = 256
 
@@ -20,22 +22,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tabgraph.scratch", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tabgraph-")
-        spark.conf.set("tabgraph.scratch", root)
-    return root
-
-
-def written(spark: SparkSession, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and its files outlive lost executors."""
-    path = f"{scratch_root(spark)}/tabgraph/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id's decimal text, modulo parts. A null id counts as the empty text, so as fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % parts
@@ -77,11 +63,3 @@ def row_pass(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], add: T.S
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *(pa.array(got[a], k) for a, k in zip(added, kinds))], names + added)
 
     return df.mapInArrow(run, out)
-
-
-def free(df: DataFrame, name: str) -> str:
-    """A column name that df does not have, whatever its columns are called (names clash regardless of case)."""
-    have = {c.lower() for c in df.columns}
-    while name.lower() in have:
-        name += "_"
-    return name

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabgraph.runtime import ranked
+
 from .common import free, load, written
 
 WEIGHTS, SHARE, MOST, DRAWS = (5, 2, 1), 1.5, 2, 32
@@ -21,24 +23,6 @@ def draw(doc_id: Column, k: int) -> Column:
     return F.conv(F.substring(digest, 8 * (k % 8) + 1, 8), 16, 10).cast("double") / 2.0**32
 
 
-def ranked(spark: SparkSession, df: DataFrame, order: list[Column], by: str) -> DataFrame:
-    """df with its place (from 1) in the given order as column `by`. Ranges are sorted apart; the driver gets one count
-    for each range, of which there are as many as shuffle partitions."""
-    part = free(df, "__range")
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = written(spark, df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()), "ranked")
-    from pyspark.sql import Window
-
-    base, bases = 0, {}
-    for r in cut.groupBy(part).count().orderBy(part).collect():
-        bases[r[part]], base = base, base + r["count"]
-    if not bases:
-        return cut.select(*df.columns, F.lit(0).cast("long").alias(by))
-    start = F.create_map(*(F.lit(x) for kv in bases.items() for x in kv))[F.col(part)]
-    place = F.row_number().over(Window.partitionBy(part).orderBy(*order)) + start
-    return cut.select(*df.columns, place.cast("long").alias(by))
-
-
 def targets(spark: SparkSession, sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """sources (source, source_size) with their weight and target.
 

@@ -30,7 +30,7 @@ def targets(spark: SparkSession, sources: DataFrame, weights: tuple[float, ...]
     most * its source's size stops there, and what is above is shared anew by weight until none is above. Each round is
     one aggregation of two sums, so any number of sources is handled without gathering them.
     """
-    place = ranked(spark, sources, [F.col("source").asc_nulls_last()], "__place")
+    place = ranked(spark, sources, [F.col("source").asc_nulls_last()], "__place", 1)
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.col("__place") - 1) % len(weights) + 1).cast("int"))
     s = written(spark, place.select("source", "source_size", weight.alias("weight")), "sources")
     total = s.agg(F.sum("source_size")).first()[0] or 0

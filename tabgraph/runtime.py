@@ -44,6 +44,6 @@ def ranked(spark: SparkSession, df: DataFrame, order: Sequence[Column], by: str,
     for r in cut.groupBy(part).count().orderBy(part).collect():
         bases[r[part]], base = base, base + r["count"]
     if not bases:
-        return cut.select(*df.columns, F.lit(0).cast("long").alias(by))
+        return cut.select(*df.columns, F.lit(start).cast("long").alias(by))
     first = F.create_map(*(F.lit(x) for kv in bases.items() for x in kv))[F.col(part)]
     return cut.select(*df.columns, (F.row_number().over(Window.partitionBy(part).orderBy(*order)) + first).cast("long").alias(by))

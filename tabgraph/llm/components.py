@@ -13,18 +13,18 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
 
     A large-star round links each node's larger neighbours to the smallest of itself and its neighbours, a small-star
     round its smaller ones; the number of rounds grows with the logarithm of the longest chain. A node's neighbours are
-    never gathered: their minimum is a partial aggregation, and the joins that hand it back are sort-merge joins whose
-    skewed partitions are split. Each round is written to the shared folder, so no lineage builds up. Loops (a = b) and
+    never gathered: their minimum is a partial aggregation, written before it is handed back, so that both sides of that
+    sort-merge join are dealt anew and adaptive execution splits the partition of a node with very many neighbours. Each round is written to the shared folder, so no lineage builds up. Loops (a = b) and
     repeated edges do no harm; no edges give no rows.
     """
     e = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     for _ in range(rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        least = written(spark, both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least.hint("merge"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = written(spark, large, "large")
-        least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+        least = written(spark, large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")), "least")
         small = large.join(least.hint("merge"), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(least.select("k", "m")).distinct()
         e = written(spark, small, "small")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

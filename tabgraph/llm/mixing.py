@@ -10,6 +10,8 @@ from tabgraph.runtime import ranked
 from .common import free, load, written
 
 WEIGHTS, SHARE, MOST, DRAWS = (5, 2, 1), 1.5, 2, 32
+#: Rates of up to so many sources (a few dozen bytes each) are broadcast.
+BROADCAST_SOURCES = 50_000
 
 
 def size_of(text: Column) -> Column:
@@ -46,37 +48,61 @@ def targets(spark: SparkSession, sources: DataFrame, weights: tuple[float, ...]
         level, full = now, full | (wanted > cap)
 
 
-def plan(spark: SparkSession, docs: DataFrame, draws: int = DRAWS) -> DataFrame:
-    """(doc_id, size, source_size, target, copies) of each row of docs.
-
-    A source's repetition rate is target / source_size. A document is taken floor(rate) times, and once more if a draw
-    hashed from its id and a seed is below the rest of the rate. Of `draws` seeds, each source uses the one whose taken
-    words come nearest its target (the first of equals), which a single aggregation with partial sums finds, however
-    large the source. Null texts have size 0, null sources are a source, null ids share their draws, and so do rows
-    with the same id; a source without words has target 0 and rate 0. No document is taken more than twice as often as
-    it stands there.
+def repetition(spark: SparkSession, sized: DataFrame, draws: int = DRAWS) -> DataFrame:
+    """(__source, source_size, target, whole, rest, seed): how often each source of `sized` (doc_id, source, size) is taken.
+
+    A source's repetition rate is target / source_size, in whole and rest. Of `draws` seeds, each source uses the one
+    whose taken words come nearest its target (the first of equals), which a single aggregation with partial sums
+    finds, however large the source.
     """
-    sized = written(spark, docs.select("doc_id", "source", size_of(F.col("text")).alias("size")), "sizes")
     rates = targets(spark, sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     rates = rates.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rates = written(spark, rates.withColumn("whole", F.floor("rate")).withColumn("rest", F.col("rate") - F.col("whole")).withColumnRenamed("source", "__source"), "rates")
-    with_rate = sized.join(rates, F.col("source").eqNullSafe(F.col("__source")))
-    sums = with_rate.groupBy("__source").agg(F.first("whole").alias("whole"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), *(F.sum(F.when(draw(F.col("doc_id"), k) < F.col("rest"), F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(draws)))
+    sums = by_source(sized, rates).groupBy("__source").agg(F.first("whole").alias("whole"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), *(F.sum(F.when(draw(F.col("doc_id"), k) < F.col("rest"), F.col("size")).otherwise(0)).alias(f"s{k}") for k in range(draws)))
     off = F.array(*(F.struct(F.abs(F.col("whole") * F.col("source_size") + F.col(f"s{k}") - F.col("target")).alias("off"), F.lit(k).alias("seed")) for k in range(draws)))
-    seeds = written(spark, sums.select(F.col("__source").alias("__seeded"), F.array_min(off)["seed"].alias("seed")), "seeds")
-    rates = rates.join(seeds, F.col("__source").eqNullSafe(F.col("__seeded"))).drop("__seeded")
-    extra = F.coalesce(*(F.when(F.col("seed") == k, draw(F.col("doc_id"), k) < F.col("rest")) for k in range(draws)))
-    return sized.join(rates, F.col("source").eqNullSafe(F.col("__source"))).select("doc_id", "size", "source_size", "target", (F.col("whole") + F.when(extra, 1).otherwise(0)).cast("long").alias("copies"), "source")
+    seeds = sums.select(F.col("__source").alias("__seeded"), F.array_min(off)["seed"].alias("seed"))
+    return written(spark, rates.join(seeds, F.col("__source").eqNullSafe(F.col("__seeded"))).select("__source", "source_size", "target", "whole", "rest", "seed"), "seeds")
+
+
+def by_source(docs: DataFrame, rates: DataFrame, of: str = "__source") -> DataFrame:
+    """docs with their source's rates (column `of` and the others): broadcast up to BROADCAST_SOURCES of them, else joined by
+    sorting, both sides dealt anew, so that adaptive execution splits a source with very many rows."""
+    few = rates.count() <= BROADCAST_SOURCES
+    return docs.join(F.broadcast(rates) if few else rates.hint("merge"), docs["source"].eqNullSafe(rates[of]))
+
+
+def copies(doc_id: Column, draws: int = DRAWS, whole: str = "whole", rest: str = "rest", seed: str = "seed") -> Column:
+    """A document's copies: its source's whole rate, and one more if its draw with the source's seed is below the rest."""
+    extra = F.coalesce(*(F.when(F.col(seed) == k, draw(doc_id, k) < F.col(rest)) for k in range(draws)))
+    return (F.col(whole) + F.when(extra, 1).otherwise(0)).cast("long")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"))
+
+
+def plan(spark: SparkSession, docs: DataFrame, draws: int = DRAWS) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, source) of each row of docs.
+
+    A document is taken floor(rate) times, and once more if a draw hashed from its id and its source's seed is below the
+    rest of the rate. Null texts have size 0, null sources are a source, null ids share their draws, and so do rows with
+    the same id; a source without words has target 0 and rate 0. No document is taken more than twice as often as it
+    stands there. Repeated rows are taken each; an empty table gives an empty one.
+    """
+    sized = written(spark, _sized(docs), "sizes")
+    return by_source(sized, repetition(spark, sized, draws)).select("doc_id", "size", "source_size", "target", copies(F.col("doc_id"), draws).alias("copies"), "source")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, draws: int = DRAWS) -> DataFrame:
-    """docs with each row as often as `plan` takes it; columns and schema as they were. Its decisions are a function of
-    (doc_id, source), so they are joined on both, null ids and sources included, after folding repeated rows."""
-    p = plan(spark, docs, draws).groupBy("doc_id", "source").agg(F.first("copies").alias("copies"))
-    p = p.select(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), "copies")
-    n = free(docs, "copies")
-    joined = docs.join(p.withColumnRenamed("copies", n), docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__of")))
-    return joined.where(F.col(n) > 0).withColumn(n, F.explode(F.array_repeat(F.lit(0), F.col(n).cast("int")))).select(*(docs[c] for c in docs.columns))
+    """docs with each row as often as `plan` takes it; columns and schema as they were. Texts are never shuffled (but to
+    sources beyond BROADCAST_SOURCES): the rates come to the rows."""
+    sized = written(spark, _sized(docs), "sizes")
+    own = {c: free(docs, f"__{c}") for c in ("of", "whole", "rest", "seed", "copies")}
+    r = repetition(spark, sized, draws).select(F.col("__source").alias(own["of"]), *(F.col(c).alias(own[c]) for c in ("whole", "rest", "seed")))
+    joined = by_source(docs, r, own["of"])
+    n = copies(docs["doc_id"], draws, own["whole"], own["rest"], own["seed"])
+    taken = joined.select(*(docs[c] for c in docs.columns), n.cast("int").alias(own["copies"])).where(F.col(own["copies"]) > 0)
+    return taken.withColumn(own["copies"], F.explode(F.array_repeat(F.lit(0), F.col(own["copies"])))).drop(own["copies"])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,8 +172,8 @@ def linked(spark: SparkSession, docs: DataFrame, name: str = "component_id", dro
     ids = written(spark, rows.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(spark, links(spark, ids.select("fp")))
     of = written(spark, ids.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
-    named = of.groupBy("root").agg(F.min("least").alias(name))
-    return rows, of.join(named, "root").select("fp", name)
+    named = written(spark, of.groupBy("root").agg(F.min("least").alias(name)), "named")  # so that a large class's join can be split
+    return rows, of.join(named.hint("merge"), "root").select("fp", name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     first = rows.select(fp, "doc_id", row).join(c, F.col(fp) == F.col(key)).groupBy(cls).agg(F.min(rank).alias("first"))
     first = written(spark, first.select(F.col("first.row").alias(key)), "kept")
-    return rows.join(first, F.col(row) == F.col(key), "left_semi").select(*docs.columns)
+    return rows.join(first.hint("merge"), F.col(row) == F.col(key), "left_semi").select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -438,6 +438,11 @@ def users(s, d, some: int = 4) -> G.Graph:
     return G.Graph(raw(s, d, "events").select(F.col("user_id").alias("id")).distinct(), e.withColumn("w", (F.col("eid") % 5 + 1).cast("double")))
 
 
+def all_users(s, d) -> G.Graph:
+    """All moves are edges, weighted as in users(); users are its vertices."""
+    return G.Graph(raw(s, d, "events").select(F.col("user_id").alias("id")).distinct(), moves(s, d).withColumn("w", (F.col("eid") % 5 + 1).cast("double")))
+
+
 USERS = f"(SELECT *, (eid % 5 + 1)::DOUBLE AS w FROM {MOVES} WHERE eid % 4 = 0)"
 VERTICES = "(SELECT DISTINCT user_id AS id FROM events)"
 
@@ -487,11 +492,21 @@ def clustering_coefficient(s, d):
     return users(s, d).clustering().withColumn("coefficient", F.round("coefficient", 6))
 
 
+@query()
+def clustering_coefficient_all_moves(s, d):
+    return all_users(s, d).clustering().withColumn("coefficient", F.round("coefficient", 6))
+
+
 @query(f"SELECT v.id, coalesce(sum(w), 0)::DOUBLE AS total FROM {VERTICES} v LEFT JOIN {USERS} e ON e.dst = v.id GROUP BY v.id")
 def incoming_weight_sum(s, d):
     return supersteps.incoming_weights(users(s, d))
 
 
+@query()
+def incoming_weight_sum_all_moves(s, d):
+    return supersteps.incoming_weights(all_users(s, d))
+
+
 _START = f"(SELECT min(src) FROM {USERS})"
 
 
@@ -505,24 +520,48 @@ def bfs_depths(s, d):
     return supersteps.breadth_first(s, g, [_start(g)]).select("id", "depth")
 
 
+@query()
+def bfs_depths_all_moves(s, d):
+    g = all_users(s, d)
+    return supersteps.breadth_first(s, g, [_start(g)]).select("id", "depth")
+
+
 @query(f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {USERS}), b(id) AS (SELECT {_START} UNION SELECT e.dst FROM b JOIN e ON e.src = b.id) SELECT v.id, b.id IS NOT NULL AS reachable FROM {VERTICES} v LEFT JOIN b ON b.id = v.id")
 def transitive_closure(s, d):
     g = users(s, d)
     return supersteps.closure(s, g, [_start(g)]).state
 
 
+@query()
+def transitive_closure_all_moves(s, d):
+    g = all_users(s, d)
+    return supersteps.closure(s, g, [_start(g)]).state
+
+
 @query(f"WITH RECURSIVE e AS (SELECT src, dst, min(w) AS w FROM {USERS} GROUP BY ALL), b(id, distance, n) AS (SELECT {_START}, 0::DOUBLE, 0 UNION ALL SELECT dst, min(distance), any_value(n) FROM (SELECT e.dst, b.distance + e.w AS distance, b.n + 1 AS n FROM b JOIN e ON e.src = b.id WHERE b.n < 40) GROUP BY dst) SELECT v.id, coalesce(min(b.distance), 'inf'::DOUBLE) AS distance FROM {VERTICES} v LEFT JOIN b ON b.id = v.id GROUP BY v.id")
 def shortest_paths(s, d):
     g = users(s, d)
     return supersteps.shortest_paths(s, g, _start(g), "w").state.select("id", "distance")
 
 
+@query()
+def shortest_paths_all_moves(s, d):
+    g = all_users(s, d)
+    return supersteps.shortest_paths(s, g, _start(g), "w").state.select("id", "distance")
+
+
 @query(f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {USERS}), b(id) AS (SELECT {_START} UNION SELECT e.dst FROM b JOIN e ON e.src = b.id) SELECT v.id, CASE WHEN b.id IS NULL THEN 'inf'::DOUBLE ELSE 0::DOUBLE END AS distance FROM {VERTICES} v LEFT JOIN b ON b.id = v.id")
 def wave_reachability(s, d):
     g = users(s, d)
     return supersteps.reached(s, g, _start(g)).state.select("id", "distance")
 
 
+@query()
+def wave_reachability_all_moves(s, d):
+    g = all_users(s, d)
+    return supersteps.reached(s, g, _start(g)).state.select("id", "distance")
+
+
 @query("SELECT 'step' AS kind, n_nationkey::BIGINT + 100 AS id, (1 + 2)::BIGINT AS layer FROM nation WHERE false UNION ALL SELECT 'layer', r_regionkey + 1000, 1 FROM region UNION ALL SELECT 'layer', n_nationkey + 100, 2 FROM nation UNION ALL SELECT 'layer', 0, 0")
 def topological_layers(s, d):
     """World, regions, nations: a tree whose layers are plain."""
@@ -545,7 +584,7 @@ def strong_components_numbered(s, d):
 
 @query()
 def depth_first_events(s, d):
-    return ordering.depth_first(users(s, d))
+    return ordering.depth_first(all_users(s, d))
 
 
 @query()

@@ -576,10 +576,14 @@ def scc_labels_min_id(s, d):
     return ordering.strong_labels(s, g.filter_edges(F.col("eid") % 16 == 0))
 
 
+@query()
+def scc_labels_min_id_all_moves(s, d):
+    return ordering.strong_labels(s, all_users(s, d))
+
+
 @query()
 def strong_components_numbered(s, d):
-    g = users(s, d)
-    return ordering.strong_components(g.filter_edges(F.col("eid") % 16 == 0))
+    return ordering.strong_components(all_users(s, d))
 
 
 @query()

@@ -62,3 +62,39 @@ def test_depth_first_examines_all_moves(spark, events):
     d, edges = events
     got = catalogue.QUERIES["depth_first_events"](spark, d).where("kind = 'examine'").collect()
     assert Counter((r.vertex, r.target) for r in got) == Counter((a, b) for _, a, b in edges)
+
+
+def tarjan(ids, edges):
+    """Components as (number by finishing root, least id)."""
+    out = defaultdict(list)
+    for _, a, b in sorted(edges):
+        out[a].append(b)
+    found, low, stack, number, least = {}, {}, [], {}, {}
+
+    def visit(v):
+        found[v] = low[v] = len(found)
+        stack.append(v)
+        for w in out[v]:
+            if w not in found:
+                visit(w)
+            if w not in number:
+                low[v] = min(low[v], low[w])
+        if low[v] == found[v]:
+            own = stack[stack.index(v) :]
+            del stack[stack.index(v) :]
+            n = len(set(number.values()))
+            for w in own:
+                number[w], least[w] = n, min(own)
+
+    for v in sorted(ids):
+        if v not in found:
+            visit(v)
+    return number, least
+
+
+def test_strong_components_take_all_moves(spark, events):
+    d, edges = events
+    number, least = tarjan({v for _, a, b in edges for v in (a, b)}, edges)
+    assert len(set(number.values())) > 2 and max(Counter(number.values()).values()) > 5
+    assert rows(spark, "scc_labels_min_id_all_moves", d, "id", "label") == least
+    assert rows(spark, "strong_components_numbered", d, "id", "component") == number

@@ -394,10 +394,16 @@ def shuffled_pipeline(s, d):
 
 @query("SELECT event_type, list(event_id ORDER BY event_id)[1:20]::VARCHAR AS ids FROM events GROUP BY 1")
 def grouped_lists(s, d):
-    g = S.grouped_lists(raw(s, d, "events").where("event_id < 100000"), "event_type", "event_id", "event_id")
+    g = S.grouped_lists(raw(s, d, "events"), "event_type", "event_id", "event_id")
     return g.select("event_type", F.concat(F.lit("["), F.array_join(F.slice("event_id", 1, 20).cast("array<string>"), ", "), F.lit("]")).alias("ids"))
 
 
+@query("SELECT event_type, list(event_id ORDER BY event_id)::VARCHAR AS ids FROM events GROUP BY 1")
+def grouped_lists_whole(s, d):
+    g = S.grouped_lists(raw(s, d, "events"), "event_type", "event_id", "event_id")
+    return g.select("event_type", F.concat(F.lit("["), F.array_join(F.col("event_id").cast("array<string>"), ", "), F.lit("]")).alias("ids"))
+
+
 @query("SELECT o_orderkey, try_cast(trim(' ' || o_custkey || ' ') AS BIGINT) AS whole, CASE WHEN o_custkey % 3 = 0 THEN true WHEN o_custkey % 3 = 1 THEN false END AS flag FROM orders")
 def parse_text(s, d):
     k = F.col("o_custkey")

@@ -98,3 +98,12 @@ def test_strong_components_take_all_moves(spark, events):
     assert len(set(number.values())) > 2 and max(Counter(number.values()).values()) > 5
     assert rows(spark, "scc_labels_min_id_all_moves", d, "id", "label") == least
     assert rows(spark, "strong_components_numbered", d, "id", "component") == number
+
+
+def test_grouped_lists_read_all_events(spark, tmp_path):
+    d = str(tmp_path)
+    events = [(i, "late" if i >= 100_000 else "early") for i in range(99_970, 100_030)]
+    spark.createDataFrame(events, "event_id long, event_type string").write.parquet(f"{d}/events.parquet")
+    want = {k: [i for i, t in events if t == k] for k in ("early", "late")}
+    assert rows(spark, "grouped_lists", d, "event_type", "ids") == {k: str(v[:20]) for k, v in want.items()}
+    assert rows(spark, "grouped_lists_whole", d, "event_type", "ids") == {k: str(v) for k, v in want.items()}

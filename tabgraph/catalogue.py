@@ -589,7 +589,7 @@ def scc_labels_min_id_all_moves(s, d):
 
 @query()
 def strong_components_numbered(s, d):
-    return ordering.strong_components(all_users(s, d))
+    return ordering.strong_components_any(s, all_users(s, d))
 
 
 @query()
@@ -600,7 +600,7 @@ def depth_first_events(s, d):
 @query()
 def topological_order(s, d):
     e = moves(s, d).where("src < dst")
-    return ordering.topological(G.Graph.from_edges(e))
+    return ordering.topological_any(s, G.Graph.from_edges(e))
 
 
 @query("SELECT src, dst FROM (SELECT i AS src, (i + k) % 50 AS dst FROM range(50) a(i), range(1, 5) b(k))")
@@ -668,7 +668,7 @@ def label_propagation_ten_steps(s, d):
 @query()
 def approx_knn(s, d):
     p = _points(s, d)
-    return knn.approximate(s, p, knn.exact(p, 10, "cosine"), p.where("id % 20 = 0"), 5, kind="cosine")
+    return knn.nearest(s, p, written(s, knn.exact(p, 10, "cosine"), "near"), p.where("id % 20 = 0"), 5, "cosine")
 
 
 # CSV

@@ -106,6 +106,13 @@ def approximate(spark: SparkSession, points: DataFrame, edges: DataFrame, querie
     return queries.select("id", "v").mapInPandas(fn, "src long, dst long, similarity double")
 
 
+def nearest(spark: SparkSession, points: DataFrame, edges: DataFrame, queries: DataFrame, k: int, kind: str = "euclid", most: int = GRAPH_ROWS) -> DataFrame:
+    """(src, dst, similarity): approximate() where a walk can hold the graph, exact neighbours beyond."""
+    if points.count() + edges.count() > most:
+        return exact(points, k, kind, queries).select("src", "dst", "similarity")
+    return approximate(spark, points, edges, queries, k, kind=kind)
+
+
 def inserted(spark: SparkSession, points: DataFrame, k: int, kind: str = "euclid", seed: int = 1) -> DataFrame:
     """(src, dst, similarity) of a neighbour graph built by inserting points in order of their ids: each is linked to the k
     nearest that a climb from k random earlier points finds, never to itself. Sequential, so bounded like a walk."""

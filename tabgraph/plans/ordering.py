@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabgraph.errors import CycleDetected, TooLarge
-from tabgraph.runtime import written
+from tabgraph.runtime import ranked, written
 
 from .graph import Graph
 
@@ -103,6 +103,17 @@ def topological_layers(spark: SparkSession, graph: Graph) -> DataFrame:
     return out
 
 
+def fits(graph: Graph, bound: int = BOUND) -> bool:
+    return graph.vertices.count() + graph.both_ways().count() <= bound
+
+
+def topological_any(spark: SparkSession, graph: Graph, bound: int = BOUND) -> DataFrame:
+    """(place, id) of topological() within the bound; beyond it all vertices by layer and id, which is as valid an order."""
+    if fits(graph, bound):
+        return topological(graph, bound)
+    return ranked(spark, topological_layers(spark, graph), [F.col("layer"), F.col("id")], "place").select("place", "id")
+
+
 def strong_components(graph: Graph, bound: int = BOUND) -> DataFrame:
     """(id, component) numbered as their roots finish in a depth-first traversal by ids."""
 
@@ -160,3 +171,16 @@ def strong_labels(spark: SparkSession, graph: Graph) -> DataFrame:
         left = written(spark, left.join(member, "id", "left_anti"), "left")
         edges = written(spark, inner.join(member.select(F.col("id").alias("src")), "src", "left_anti").join(member.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
     return done if done is not None else graph.vertices.select("id", F.col("id").alias("label"))
+
+
+def strong_components_any(spark: SparkSession, graph: Graph, bound: int = BOUND) -> DataFrame:
+    """(id, component) of strong_components() within the bound; beyond it the same components numbered from the last layer
+    of the condensation to the first and by their smallest ids, so that edges lead to smaller numbers in both forms."""
+    if fits(graph, bound):
+        return strong_components(graph, bound)
+    labels = written(spark, strong_labels(spark, graph), "labels")
+    a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("a")), labels.select(F.col("id").alias("dst"), F.col("label").alias("b"))
+    between = graph.both_ways().select("src", "dst").join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    layers = topological_layers(spark, Graph(labels.select(F.col("label").alias("id")).distinct(), between))
+    numbered = ranked(spark, layers, [F.col("layer").desc(), F.col("id")], "component").select(F.col("id").alias("label"), "component")
+    return labels.join(numbered, "label").select("id", "component")

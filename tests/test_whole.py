@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tabgraph import catalogue
+from tabgraph.plans import graph, knn, ordering
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +108,28 @@ def test_grouped_lists_read_all_events(spark, tmp_path):
     want = {k: [i for i, t in events if t == k] for k in ("early", "late")}
     assert rows(spark, "grouped_lists", d, "event_type", "ids") == {k: str(v[:20]) for k, v in want.items()}
     assert rows(spark, "grouped_lists_whole", d, "event_type", "ids") == {k: str(v) for k, v in want.items()}
+
+
+def small(spark, edges):
+    return graph.Graph.from_edges(spark.createDataFrame(edges, "src long, dst long"))
+
+
+def test_beyond_the_bound_the_order_is_whole(spark):
+    edges = [(0, 1), (0, 2), (1, 3), (3, 4), (5, 2), (4, 6)]
+    got = {r.id: r.place for r in ordering.topological_any(spark, small(spark, edges), 3).collect()}
+    assert sorted(got.values()) == list(range(7)) and all(got[a] < got[b] for a, b in edges)
+
+
+def test_beyond_the_bound_components_are_numbered(spark):
+    edges = [(7, 8), (8, 7), (8, 1), (1, 2), (2, 1), (2, 5), (9, 5), (5, 5)]
+    got = {r.id: r.component for r in ordering.strong_components_any(spark, small(spark, edges), 3).collect()}
+    _, least = tarjan({1, 2, 5, 7, 8, 9}, [(i, *e) for i, e in enumerate(edges)])
+    assert {a for a in got for b in got if (got[a] == got[b]) != (least[a] == least[b])} == set()
+    assert set(got) == set(least) and sorted(set(got.values())) == [0, 1, 2, 3] and all(got[a] >= got[b] for a, b in edges)
+
+
+def test_beyond_the_bound_neighbours_are_exact(spark):
+    points = spark.createDataFrame([(i, [float(i), float(i * i % 7)]) for i in range(20)], "id long, v array<double>")
+    edges = spark.createDataFrame([(0, 1)], "src long, dst long")
+    got = knn.nearest(spark, points, edges, points.where("id < 4"), 3, most=20).collect()
+    assert {(r.src, r.dst) for r in got} == {(r.src, r.dst) for r in knn.exact(points, 3).collect() if r.src < 4} and len(got) == 12

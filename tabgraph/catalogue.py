@@ -576,6 +576,11 @@ def topological_layers(s, d):
     return ordering.topological_layers(s, G.Graph.from_edges(world.union(lands))).select(F.lit("layer").alias("kind"), "id", F.col("layer").cast("long").alias("layer"))
 
 
+@query()
+def topological_layers_all_moves(s, d):
+    return ordering.topological_layers(s, G.Graph.from_edges(moves(s, d).where("src < dst")))
+
+
 @query(f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {USERS} WHERE eid % 16 = 0), r(a, b) AS (SELECT id, id FROM {VERTICES} UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT x.a AS id, min(x.b) AS label FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
 def scc_labels_min_id(s, d):
     g = users(s, d)
@@ -633,6 +638,11 @@ def distance_metrics_grid(s, d):
     return G.grid_graph(s, 4, 4).distance_metrics(s).drop("central_vertex", "peripheral_vertex")
 
 
+@query()
+def distance_metrics_all_moves(s, d):
+    return all_users(s, d).distance_metrics(s)
+
+
 def _points(s, d) -> DataFrame:
     return raw(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
 

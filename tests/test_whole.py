@@ -133,3 +133,24 @@ def test_beyond_the_bound_neighbours_are_exact(spark):
     edges = spark.createDataFrame([(0, 1)], "src long, dst long")
     got = knn.nearest(spark, points, edges, points.where("id < 4"), 3, most=20).collect()
     assert {(r.src, r.dst) for r in got} == {(r.src, r.dst) for r in knn.exact(points, 3).collect() if r.src < 4} and len(got) == 12
+
+
+def test_layers_take_all_rising_moves(spark, events):
+    d, edges = events
+    up = [(a, b) for _, a, b in edges if a < b]
+    want = {v: 0 for e in up for v in e}
+    for a, b in sorted(up, key=lambda e: e[1]):  # by target: a source's layer is final before it is used
+        want[b] = max([want[b]] + [want[x] + 1 for x, y in up if y == b])
+    assert max(want.values()) > 3
+    assert rows(spark, "topological_layers_all_moves", d, "id", "layer") == want
+
+
+def test_distance_metrics_take_all_moves(spark, events):
+    d, edges = events
+    ids = {v for _, a, b in edges for v in (a, b)}
+    far = {v: distances(edges, v, lambda i: 1) for v in ids}
+    far = {v: f for v, f in far.items() if len(f) - 1 > len(ids) // 4 or v == min(ids)}
+    ends = {v: max(f.values()) for v, f in far.items()}
+    r = catalogue.QUERIES["distance_metrics_all_moves"](spark, d).first()
+    assert (r.diameter, r.radius) == (max(ends.values()), min(ends.values()))
+    assert r.average_path_length == pytest.approx(sum(map(lambda f: sum(f.values()), far.values())) / sum(len(f) - 1 for f in far.values()))

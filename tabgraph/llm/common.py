@@ -32,11 +32,12 @@ def fold_py(doc_id: int | None, parts: int) -> int:
 
 
 def bounded_sample(df: DataFrame, keys: Sequence[Column], rows: int, total: int) -> DataFrame:
-    """About `rows` of `total` rows, chosen by a hash of `keys`, never more than twice as many."""
+    """About `rows` of `total` rows, chosen by a hash of `keys`, never more than twice as many: those with the least hashes,
+    so that the same rows are chosen again in another run. Rows with equal keys stand or fall by all their columns."""
     if total <= rows:
         return df
-    share = max(1, round(2**31 * rows / total))
-    return df.where(F.pmod(F.xxhash64(*keys), F.lit(2**31)) < share).limit(2 * rows)
+    share, drawn = max(1, round(2**31 * rows / total)), F.pmod(F.xxhash64(*keys), F.lit(2**31))
+    return df.where(drawn < share).orderBy(drawn, F.xxhash64(*df.columns)).limit(2 * rows)
 
 
 def row_pass(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], add: T.StructType, text: str = "text", drop: Sequence[str] = (), keep: Callable[[dict[str, list]], list[bool]] | None = None) -> DataFrame:

@@ -79,13 +79,31 @@ def test_language_of_odd_texts(spark):
 
 
 def test_every_code_within_the_radius_is_found():
+    """By probing and by comparing all, whichever the radius calls for."""
     rng = np.random.default_rng(1)
-    codes = rng.integers(0, 2**63, 3000, dtype=np.uint64)
-    codes[:50] = codes[50] ^ (np.uint64(1) << rng.integers(0, 63, 50, dtype=np.uint64))
+    codes = rng.integers(0, 2**64, (6000, 4), dtype=np.uint64)
+    for i in range(200):
+        codes[i] = codes[5000]
+        for bit in rng.choice(256, i, replace=False):
+            codes[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
     index = neighbours.Index(codes)
-    for r in (0, 1, 5, 18, 30):
-        for q in codes[:60:7]:
-            assert index.within(int(q), r).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q) <= r).tolist()
+    assert index.probing(31) and not index.probing(48)
+    asked = np.concatenate([codes[:60:7], codes[5000:5002]])
+    for r in (0, 1, 15, 16, 31, 40, 100, 256):
+        for q, got in zip(asked, index.within(asked, r), strict=True):
+            assert got.tolist() == np.flatnonzero(np.bitwise_count(codes ^ q).sum(1) <= r).tolist()
+    assert len(next(index.within(codes[5000:5001], 31))) == 33
+
+
+def brute_neighbours(rows, k):
+    """Per query the best (-score, vec_id), repeats included; of several vectors of a query's id the least is asked for."""
+    rows = [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    asked = {}
+    for i, v in rows:
+        if i % 20 == 0:
+            asked[i] = min(asked.get(i, v), v, key=lambda x: (len(x), x))
+    dot = lambda a, b: float((np.array(a) * np.array(b)).sum())
+    return {i: sorted((-dot(q, v), j) for j, v in rows if j != i and len(v) == len(q))[:k] for i, q in asked.items()}
 
 
 def test_neighbours(spark):
@@ -95,22 +113,37 @@ def test_neighbours(spark):
     rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(2000, None), (2020, [0.0] * 24), (2040, [math.nan] * 24), (2060, [1.0, None]), (2080, []), (None, v[0].tolist()), (3000, [1.0, 2.0]), (3001, [3.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = neighbours.nearest(spark, df).collect()
-    hit = total = 0
+    want, hit, total = brute_neighbours(rows, 20), 0, 0
     for q in range(0, 900, 20):
-        s = v @ v[q]
-        s[q] = -np.inf
-        want = set(np.lexsort((np.arange(900), -s))[:20].tolist())
         own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
         assert [r.rank for r in own] == list(range(1, 21))
         assert all(r.score == pytest.approx(float(v[q] @ v[r.vec_id]), abs=1e-12) for r in own)
         assert [(-r.score, r.vec_id) for r in own] == sorted((-r.score, r.vec_id) for r in own)
-        hit, total = hit + len(want & {r.vec_id for r in own}), total + 20
+        hit, total = hit + len({j for _, j in want[q]} & {r.vec_id for r in own}), total + 20
     assert hit / total >= 0.9
     assert [(r.vec_id, r.score) for r in got if r.query_id == 3000] == [(3001, 5.0)]
     assert {r.query_id for r in got} == {*range(0, 900, 20), 3000}
     assert neighbours.nearest(spark, df.limit(0)).count() == 0
 
 
+def test_neighbours_of_equal_vectors_and_repeated_ids(spark):
+    """Fewer rows than k, so that the result is exact: ties, repeated rows, one id with several vectors."""
+    a, b = [1.0, 2.0, 0.5], [2.0, 1.0, 0.5]
+    rows = [(i, a) for i in (20, 21, 22, 7, 7, 40, 40)] + [(40, b), (3, b), (60, [-1.0, 0.0, 0.0]), (60, [-2.0, 0.0, 0.0]), (-20, b)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
+    for k in (1, 2, 5, 30):
+        got = sorted(map(tuple, neighbours.nearest(spark, df, k=k).collect()))
+        want = [(q, n + 1, j, -s) for q, best in sorted(brute_neighbours(rows, k).items()) for n, (s, j) in enumerate(best)]
+        assert got == [(*w[:3], pytest.approx(w[3])) for w in want]
+
+
+def test_recall_on_the_given_vectors(spark):
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    got = Counter((r.query_id, r.vec_id) for r in neighbours.op6_neighbours(spark, "/root/testdata/sf0.1").collect())
+    want = brute_neighbours(rows, 20)
+    assert sum(got[q, j] for q, best in want.items() for _, j in best) / sum(map(len, want.values())) >= 0.9
+
+
 # 7 and 8
 
 

@@ -141,7 +141,7 @@ def test_recall_on_the_given_vectors(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     got = Counter((r.query_id, r.vec_id) for r in neighbours.op6_neighbours(spark, "/root/testdata/sf0.1").collect())
     want = brute_neighbours(rows, 20)
-    assert sum(got[q, j] for q, best in want.items() for _, j in best) / sum(map(len, want.values())) >= 0.9
+    assert sum((q, j) in got for q, best in want.items() for _, j in best) / sum(map(len, want.values())) >= 0.9
 
 
 # 7 and 8

@@ -49,7 +49,7 @@ def row_pass(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], add: T.S
     names = [c for c in df.columns if c not in drop]
     added = [f.name for f in add.fields]
     out = T.StructType([df.schema[c] for c in names] + ([] if keep else add.fields))
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32())}
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64())}
     kinds = [arrow[f.dataType.simpleString()] for f in add.fields]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

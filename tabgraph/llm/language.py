@@ -67,7 +67,8 @@ def fit_centroids(spark: SparkSession, docs: DataFrame, rows: int = 300, centroi
         got = [ngrams(t) for t in texts]
         return {"at": [a for a, _ in got], "x": [x for _, x in got]}
 
-    t = row_pass(known.where(drawn), fn, add, drop=["text"]).limit(2 * rows * len(counts)).toArrow()
+    some = known.where(drawn).withColumns({"h": F.xxhash64("doc_id"), "h2": F.xxhash64("text")})
+    t = row_pass(some, fn, add, drop=["text"]).orderBy("h", "doc_id", "h2").limit(2 * rows * len(counts)).toArrow()
     order = sorted(range(t.num_rows), key=lambda i: xxhash.xxh64_intdigest(str(t["doc_id"][i])))
     vectors = [(t["lang"][i].as_py(), t["at"][i].values.to_numpy(), t["x"][i].values.to_numpy()) for i in order]
     vectors = [v for v in vectors if len(v[1])]

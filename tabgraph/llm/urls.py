@@ -86,7 +86,7 @@ def judged(spark: SparkSession, pages: DataFrame, rules=RULES, order: int = ORDE
     else:  # any size: partial sums of each gram's texts would not help, so AQE splits what is frequent
         hit = exploded.join(model.hint("merge"), "gram")
     scores = hit.groupBy("key").agg(F.sum("ratio").alias("sum"), F.count(F.lit(1)).alias("chars"))
-    scores = written(spark, texts.join(scores, "key", "left").select("key", "ok", "held", "n", F.coalesce(F.round(F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("sum") / F.col("chars"))), 6), F.lit(0.0)).alias("score")), "scores")
+    scores = written(spark, texts.join(scores, "key", "left").select("key", "ok", "held", "n", F.when(F.col("chars").isNull(), 0.0).otherwise(F.round(F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("sum") / F.col("chars"))), 6)).alias("score")), "scores")
     threshold = calibrated(scores.where(F.col("held") & F.col("ok").isNotNull()))
     out = p.join(scores.select("key", "score"), "key").crossJoin(F.broadcast(threshold))
     verdict = F.when(F.col("rule").isNotNull(), F.when(F.col("rule").isin(allowed), "allow").otherwise("block")).when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")

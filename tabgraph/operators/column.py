@@ -44,6 +44,10 @@ class Mask:
         """The number of rows it holds for, as an aggregate."""
         return F.count_if(self.expr)
 
+    def is_empty(self) -> Column:
+        """Whether it holds for no row, as an aggregate."""
+        return ~F.coalesce(F.bool_or(self.expr), F.lit(False))
+
 
 #: Named properties of values that can be used as masks; more can be registered.
 PROPERTIES: dict[str, Callable[[Column], Column]] = {
@@ -145,8 +149,10 @@ class Col:
 
     def reduced(self, zero: Any, fn: Callable[[Column, Column], Column]) -> Any:
         """An ordered fold over the values that are not null, of one group in one task: for columns of bounded length."""
-        rows = F.sort_array(F.collect_list(F.when(self.expr.isNotNull(), F.struct(self.table.position.alias("p"), self.expr.alias("v")))))
-        return self._reduced(F.aggregate(rows, F.lit(zero), lambda acc, x: fn(acc, x["v"])))
+        t = self.table.settled()
+        c = t.frame[self.name]
+        rows = F.sort_array(F.collect_list(F.when(c.isNotNull(), F.struct(t.position.alias("p"), c.alias("v")))))
+        return t.frame.agg(F.aggregate(rows, F.lit(zero), lambda acc, x: fn(acc, x["v"])).alias("x")).first()[0]
 
 
 def not_nan(c: Column, t: T.DataType) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgraph.runtime import written
+from tabgraph.runtime import Grown, written
 
 
 class Graph:
@@ -42,8 +42,9 @@ class Graph:
         return self._with(self.edges.where(~F.coalesce(predicate, F.lit(False))))
 
     def remove_edge(self, u: int, v: int) -> Graph:
-        """All parallels of (u, v)."""
-        return self.remove_edges((F.col("src") == u) & (F.col("dst") == v))
+        """All parallels of (u, v), in an undirected graph whichever end is stored first."""
+        own = (F.col("src") == u) & (F.col("dst") == v)
+        return self.remove_edges(own | (F.col("src") == v) & (F.col("dst") == u) if self.undirected else own)
 
     def clear(self, vertex: int) -> Graph:
         """Without its out-edges (in an undirected graph, without its edges)."""
@@ -96,6 +97,15 @@ class Graph:
         total = F.broadcast(d.agg(F.sum("frequency").alias("t")))  # one row
         return d.crossJoin(total).select("degree", "frequency", (F.col("frequency") / F.col("t")).alias("share"))
 
+    def degree_summary(self, kind: str = "degree") -> DataFrame:
+        """One row: mode (the most frequent degree, the smallest of equals), maximum and average; null without vertices."""
+        d = self.degrees().groupBy(F.col(kind).alias("degree")).agg(F.count(F.lit(1)).alias("n"))
+        return d.agg(F.min_by("degree", F.struct(-F.col("n"), "degree")).alias("mode"), F.max("degree").alias("maximum"), (F.sum(F.col("degree") * F.col("n")) / F.sum("n")).alias("average"))
+
+    def by_frequency(self, kind: str = "degree") -> DataFrame:
+        """The distribution, the most frequent degree first, of equals the smaller."""
+        return self.distribution(kind).orderBy(F.col("frequency").desc(), "degree")
+
     def has_parallel_edges(self) -> DataFrame:
         e = self.edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")) if self.undirected else self.edges
         return e.groupBy("src", "dst").count().agg(F.coalesce(F.max(F.col("count") > 1), F.lit(False)).alias("found"))
@@ -122,26 +132,18 @@ class Graph:
         return got.withColumn("coefficient", F.when(F.col("neighbours") > 1, F.col("inside") / (F.col("neighbours") * (F.col("neighbours") - 1))).otherwise(0.0))
 
     def depths(self, spark: SparkSession, roots: DataFrame, rounds: int = 10_000) -> DataFrame:
-        """(root, id, depth) for all that each root reaches: breadth-first rounds keyed by (root, id), one join a round."""
+        """(root, id, depth) for all that each root reaches, a row for each pair: breadth-first rounds keyed by (root, id), each
+        with one join of the last layer with the edges and one with all pairs seen. Ask for as many roots as rows can be held."""
         e = written(spark, self.both_ways().select("src", "dst").distinct(), "adjacency")
-        seen = written(spark, roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")), "depths")
-        front, parts = seen, [seen]
+        seen = Grown(spark, "depths")
+        front = seen.add(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")))
         for depth in range(1, rounds):
             step = front.join(e, front["id"] == e["src"]).select("root", F.col("dst").alias("id")).distinct()
-            for p in parts[-2:] if not self._needs_all() else parts:
-                step = step.join(p.select("root", "id"), ["root", "id"], "left_anti")
-            front = written(spark, step.withColumn("depth", F.lit(depth)), "depths")
+            step = step.join(seen.all().select("root", "id"), ["root", "id"], "left_anti")
+            front = seen.add(step.withColumn("depth", F.lit(depth)))
             if not front.limit(1).count():
                 break
-            parts.append(front)
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out
-
-    def _needs_all(self) -> bool:
-        """In an undirected graph a vertex next to the frontier lies in one of the last two layers or is new."""
-        return not self.undirected
+        return seen.all()
 
     def path_lengths(self, spark: SparkSession, roots: DataFrame) -> DataFrame:
         """(id, eccentricity, total, reached, average) of each root; one that reaches nothing has average NaN."""

@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabgraph.errors import CycleDetected, TooLarge
-from tabgraph.runtime import ranked, written
+from tabgraph.runtime import Grown, ranked, written
 
 from .graph import Graph
 
 BOUND = 1_000_000  # vertices and edges together that a sequential algorithm takes
 
 
-def _single(graph: Graph, fn, schema: str, bound: int) -> DataFrame:
-    """fn(ids, out-edges by vertex, in order of edges) in one task, behind a check of the size."""
+def _single(graph: Graph, fn, schema: str, bound: int, weight: str | Column | None = None) -> DataFrame:
+    """fn(ids, out-edges by vertex, in order of edges) in one task, behind a check of the size. With `weight` an out-edge is
+    (target, weight)."""
     v, e = graph.vertices.select("id"), graph.both_ways()
     if v.count() + e.count() > bound:
         raise TooLarge(f"more than {bound} vertices and edges; use the scalable form")
     order = F.col("eid") if "eid" in e.columns else F.monotonically_increasing_id()
-    rows = v.select("id", F.lit(None).cast("long").alias("to"), F.lit(-1).cast("long").alias("at")).union(e.select("src", "dst", order.cast("long")))
+    rows = v.select("id", F.lit(None).cast("long").alias("to"), F.lit(-1).cast("long").alias("at"), F.lit(0.0).alias("w"))
+    weighted = weight is not None
+    own = F.lit(0.0) if not weighted else F.col(weight).cast("double") if isinstance(weight, str) else weight
+    rows = rows.union(e.select("src", "dst", order.cast("long"), own))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at", kind="stable")
         ids = sorted(pdf[pdf["to"].isna()]["id"].tolist())
-        out: dict[int, list[int]] = {i: [] for i in ids}
-        for a, b in pdf[pdf["to"].notna()][["id", "to"]].astype("int64").itertuples(index=False):
-            out[a].append(b)
+        out: dict[int, list] = {i: [] for i in ids}
+        for a, b, w in pdf[pdf["to"].notna()][["id", "to", "w"]].astype({"id": "int64", "to": "int64"}).itertuples(index=False):
+            out[a].append((b, w) if weighted else b)
         return fn(ids, out)
 
     return rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, schema)
@@ -70,6 +76,56 @@ def depth_first(graph: Graph, roots: list[int] | None = None, bound: int = BOUND
     return _single(graph, fn, "step long, kind string, vertex long, target long", bound)
 
 
+def _searched(ids: list[int], out: dict[int, list[tuple[int, float]]], starts: list[int], end: int | None, nearest: bool):
+    """Events (kind, vertex, target) of a search by layers or, with `nearest`, by distance, until `end` is examined."""
+    colour, far, queue, n = {}, {}, [], 0
+    for s in dict.fromkeys(starts):
+        yield "start", s, None
+        yield "discover", s, None
+        colour[s], far[s] = 1, 0.0
+        heapq.heappush(queue, (0.0, n, s))
+        n += 1
+    while queue:
+        d, _, v = heapq.heappop(queue)
+        if colour[v] == 2:  # a nearer way to it was found meanwhile
+            continue
+        yield "examine", v, None
+        if v == end:
+            return
+        for t, w in out[v]:
+            yield "examine_edge", v, t
+            new = d + (w if nearest else 1)
+            if t not in colour:
+                yield "tree", v, t
+                yield "discover", t, None
+                colour[t] = 1
+            elif nearest and colour[t] == 1 and new < far[t]:
+                yield "relaxed", v, t
+            else:
+                yield ("not_relaxed" if nearest else "gray_target" if colour[t] == 1 else "black_target"), v, t
+                continue
+            far[t] = new
+            heapq.heappush(queue, (new, n, t))
+            n += 1
+        colour[v] = 2
+        yield "finish", v, None
+
+
+def search_events(graph: Graph, starts: list[int], end: int | None = None, weight: str | None = None, bound: int = BOUND) -> DataFrame:
+    """(step, kind, vertex, target): what a visitor of a breadth-first search sees, or with `weight` (not negative) of one by
+    distance; it stops when it examines `end`. One bounded task: supersteps has the results themselves at any size."""
+    if not starts:
+        raise ValueError("no start vertex")
+
+    nearest = weight is not None
+
+    def fn(ids, out):
+        rows = list(_searched(ids, out, starts, end, nearest))
+        return pd.DataFrame({"step": range(len(rows)), "kind": [r[0] for r in rows], "vertex": [r[1] for r in rows], "target": pd.array([r[2] for r in rows], dtype="Int64")})
+
+    return _single(graph, fn, "step long, kind string, vertex long, target long", bound, weight or F.lit(1.0))
+
+
 def topological(graph: Graph, bound: int = BOUND) -> DataFrame:
     """(place, id) in reverse order of finishing; a cycle is an error when the result is asked for."""
 
@@ -87,26 +143,46 @@ def topological(graph: Graph, bound: int = BOUND) -> DataFrame:
 
 def topological_layers(spark: SparkSession, graph: Graph) -> DataFrame:
     """(id, layer): the longest path that ends there. Each round takes the vertices without in-edges from the rest."""
-    left, edges, layers, k = graph.vertices.select("id"), written(spark, graph.both_ways().select("src", "dst").distinct(), "edges"), [], 0
+    left, edges, layers, k = graph.vertices.select("id"), written(spark, graph.both_ways().select("src", "dst").distinct(), "edges"), Grown(spark, "layers"), 0
     left = written(spark, left, "left")
     while left.limit(1).count():
-        free = written(spark, left.join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("layer", F.lit(k)), "layer")
+        free = layers.add(left.join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("layer", F.lit(k)))
         if not free.limit(1).count():
             raise CycleDetected("cycle")
-        layers.append(free)
         left = written(spark, left.join(free, "id", "left_anti"), "left")
         edges = written(spark, edges.join(free.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"), "edges")
         k += 1
-    out = graph.vertices.select("id", F.lit(0).alias("layer")).limit(0) if not layers else layers[0]
-    for x in layers[1:]:
-        out = out.union(x)
-    return out
+    return layers.all() if k else graph.vertices.select("id", F.lit(0).alias("layer"))
 
 
 def fits(graph: Graph, bound: int = BOUND) -> bool:
     return graph.vertices.count() + graph.both_ways().count() <= bound
 
 
+def layers_any(spark: SparkSession, graph: Graph, bound: int = BOUND) -> DataFrame:
+    """topological_layers(), in one task within the bound: its rounds, one a layer, are for what no task can hold."""
+    if not fits(graph, bound):
+        return topological_layers(spark, graph)
+
+    def fn(ids, out):
+        waits, layer = dict.fromkeys(ids, 0), dict.fromkeys(ids, 0)
+        for targets in out.values():
+            for t in targets:
+                waits[t] += 1
+        free = [i for i in ids if not waits[i]]
+        for v in free:
+            for t in out[v]:
+                layer[t] = max(layer[t], layer[v] + 1)
+                waits[t] -= 1
+                if not waits[t]:
+                    free.append(t)
+        if len(free) < len(ids):
+            raise CycleDetected("cycle")
+        return pd.DataFrame({"id": list(layer), "layer": list(layer.values())}).astype({"id": "int64", "layer": "int32"})
+
+    return _single(graph, fn, "id long, layer int", bound)
+
+
 def topological_any(spark: SparkSession, graph: Graph, bound: int = BOUND) -> DataFrame:
     """(place, id) of topological() within the bound; beyond it all vertices by layer and id, which is as valid an order."""
     if fits(graph, bound):
@@ -173,6 +249,13 @@ def strong_labels(spark: SparkSession, graph: Graph) -> DataFrame:
     return done if done is not None else graph.vertices.select("id", F.col("id").alias("label"))
 
 
+def strong_summary(spark: SparkSession, graph: Graph) -> DataFrame:
+    """One row: the number of strong components, the size of the largest, and whether the graph is strongly connected (which
+    one without vertices is)."""
+    sizes = strong_labels(spark, graph).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.count(F.lit(1)).alias("components"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"), (F.count(F.lit(1)) <= 1).alias("strongly_connected"))
+
+
 def strong_components_any(spark: SparkSession, graph: Graph, bound: int = BOUND) -> DataFrame:
     """(id, component) of strong_components() within the bound; beyond it the same components numbered from the last layer
     of the condensation to the first and by their smallest ids, so that edges lead to smaller numbers in both forms."""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgraph.runtime import written
+from tabgraph.runtime import Grown, ranked, written
 
 from .graph import Graph
 
@@ -25,9 +25,10 @@ def deliver(state: DataFrame, edges: DataFrame, sending: Column, message: Column
     return sent.groupBy("id").agg(merge.alias("inbox"))
 
 
-def run(spark: SparkSession, graph: Graph, state: DataFrame, sending: Column, message: Column, merge: Column, update: dict[str, Column], most: int | None = None) -> Result:
+def run(spark: SparkSession, graph: Graph, state: DataFrame, sending: Column, message: Column, merge: Column, update: dict[str, Column], most: int | None = None, shared: dict[str, Column] | None = None) -> Result:
     """The general loop. `state` (id, ..., active) holds after step 0, which counts as the first; each delivery of at least one
-    message is a step. `update` gives the new columns from the old ones and `inbox` (null without messages)."""
+    message is a step. `update` gives the new columns from the old ones and `inbox` (null without messages). `shared` names
+    aggregates over all vertices' states: each step's updates see those of the step before as further columns."""
     edges = written(spark, graph.both_ways(), "edges")
     state, steps = written(spark, state, "state"), 1
     while most is None or steps < most:
@@ -35,6 +36,8 @@ def run(spark: SparkSession, graph: Graph, state: DataFrame, sending: Column, me
         if not inbox.limit(1).count():
             break
         joined = state.join(inbox, "id", "left")
+        if shared:
+            joined = joined.crossJoin(F.broadcast(state.agg(*(c.alias(k) for k, c in shared.items()))))  # one row
         state = written(spark, joined.select("id", *(update.get(c, F.col(c)).alias(c) for c in state.columns if c != "id")), "state")
         steps += 1
     return Result(state.drop("active"), steps)
@@ -89,40 +92,41 @@ def shortest_paths(spark: SparkSession, graph: Graph, start: int, weight: str |
 
 def breadth_first(spark: SparkSession, graph: Graph, starts: list[int], end: int | None = None) -> DataFrame:
     """(id, depth, pred) of what is reached: a vertex's predecessor is the earliest discovered one that points to it, the
-    order of discovery being (depth, predecessor's place, edge's target); stops after the layer that holds `end`."""
+    order of discovery being (depth, predecessor's place, edge's target); stops after the layer that holds `end`.
+
+    Each round joins the last layer with the edges and, once, with all that was seen; layers are numbered densely.
+    """
     if not starts:
         raise ValueError("no start vertex")
     e = written(spark, graph.both_ways().select("src", "dst").distinct(), "edges")
-    layer = written(spark, spark.createDataFrame([(v, 0, None, [i]) for i, v in enumerate(dict.fromkeys(starts))], "id long, depth int, pred long, place array<long>"), "layer")
-    layers, depth = [layer], 0
+    seen, depth = Grown(spark, "layers"), 0
+    layer = seen.add(spark.createDataFrame([(v, 0, None, i) for i, v in enumerate(dict.fromkeys(starts))], "id long, depth int, pred long, place long"))
     while True:
         depth += 1
         next_ = layer.join(e, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("place", F.col("id").alias("by"))).alias("m"))
-        for seen in layers:
-            next_ = next_.join(seen.select("id"), "id", "left_anti")
-        layer = written(spark, next_.select("id", F.lit(depth).alias("depth"), F.col("m.by").alias("pred"), F.concat(F.col("m.place"), F.array("id")).alias("place")), "layer")
-        if not layer.limit(1).count():
-            break
-        layers.append(layer)
-        if end is not None and layer.where(F.col("id") == end).limit(1).count():
-            break
-    out = layers[0]
-    for x in layers[1:]:
-        out = out.union(x)
-    return out.select("id", "depth", "pred")
+        new = next_.join(seen.all().select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), F.col("m.by").alias("pred"), F.col("m.place").alias("from"))
+        layer = seen.add(ranked(spark, new, [F.col("from"), F.col("id")], "place").select("id", "depth", "pred", "place"))
+        if not layer.limit(1).count() or end is not None and layer.where(F.col("id") == end).limit(1).count():
+            return seen.all().select("id", "depth", "pred")
 
 
 def path_to(state: DataFrame, start: int, goal: int) -> list[tuple[int, float]]:
-    """The vertices from start to goal with their distances, by one lookup a step; empty if goal was not reached."""
-    at, path = goal, []
-    while True:
-        r = state.where(F.col("id") == at).select("distance", "pred").first()
-        if r is None or r.distance == float("inf"):
-            return []
-        path.append((at, r.distance))
-        if at == start:
-            return path[::-1]
-        at = r.pred
+    """The vertices from start to goal with their distances; empty if goal was not reached. Pointers are doubled: in round k
+    each vertex knows the one 2**k predecessors before it, and those on the path so far find as many again in one join, so
+    a path of n vertices takes log2(n) rounds. The path itself, the result, is collected."""
+    spark = state.sparkSession
+    known = written(spark, state.where(F.col("distance") < float("inf")).select("id", "distance", F.col("pred").alias("jump")), "pointers")
+    jump = known.select("id", F.when(F.col("id") != start, F.col("jump")).alias("jump"))
+    path = written(spark, known.where(F.col("id") == goal).select("id", F.lit(0).cast("long").alias("back")), "path")
+    for k in range(64):
+        far = path.join(jump, "id").where("jump is not null").select(F.col("jump").alias("id"), (F.col("back") + 2**k).alias("back"))
+        more = written(spark, path.union(far).groupBy("id").agg(F.min("back").alias("back")), "path")
+        if more.where(F.col("id") == start).limit(1).count() or not path.limit(1).count():
+            path = more
+            break
+        path = more
+        jump = written(spark, jump.join(jump.select(F.col("id").alias("jump"), F.col("jump").alias("then")), "jump", "left").select("id", F.col("then").alias("jump")), "jump")
+    return [(r.id, r.distance) for r in path.join(known, "id").orderBy(F.col("back").desc()).select("id", "distance").collect()]
 
 
 def incoming_weights(graph: Graph, weight: str = "w") -> DataFrame:

@@ -13,6 +13,8 @@ from tabgraph.operators.frame import Table
 
 SNIFF = 100_000
 SEPARATORS = ",\t|"
+#: Marks that tell a quoted empty cell from an unquoted one.
+EMPTY = {"nullValue": "\u0000", "emptyValue": "\u0001"}
 #: The first type, by priority, whose pattern fits every cell; an empty cell fits all.
 TYPES = (("bigint", re.compile(r"\s*-?\d+\s*")), ("boolean", re.compile(r"\s*(t|true|f|false|0|1)\s*", re.I)), ("double", re.compile(r"\s*(-?\d+(\.\d*)?|nan|[+-]?inf(inity)?)\s*", re.I)), ("string", re.compile(r".*", re.S)))
 
@@ -87,6 +89,11 @@ def cell(c: Column, kind: str) -> Column:
     return F.regexp_replace(c, r"\\(.)", "$1")
 
 
+def told(c: Column) -> Column:
+    """A cell as read under EMPTY: an unquoted empty one is null, a quoted one the empty text."""
+    return F.when(c == EMPTY["emptyValue"], F.lit("")).otherwise(F.when(c != "", c))
+
+
 def prefix(spark: SparkSession, path: str) -> str:
     """About the first 100,000 characters, by lines; only the first partitions are read."""
     got, size, step = [], 0, 256
@@ -99,20 +106,39 @@ def prefix(spark: SparkSession, path: str) -> str:
     return "\n".join(got)
 
 
-def read_csv(spark: SparkSession, path: str, guess: Guess | None = None, keep_bad: bool = False) -> Table:
+def read_csv(spark: SparkSession, path: str, guess: Guess | None = None, multi_line: bool = True) -> Table:
     """A lazy scan of text columns under one projection of parsed cells. Short rows are filled with nulls, long ones cut;
-    an unquoted empty cell is null, a quoted one the empty text; newlines and doubled quotes may stand in quotes."""
+    an unquoted empty cell is null, a quoted one the empty text; newlines may stand in quotes, for which each file is
+    read by one task: with multi_line=False, for files without them, large files are split."""
     g = guess or sniff(prefix(spark, path))
     if len(set(g.names)) < len(g.names):
         raise DuplicateColumn(", ".join(g.names))
     raw = ", ".join(f"_{i} string" for i in range(len(g.names)))
-    text = spark.read.schema(raw).options(sep=g.separator, header=g.has_header, quote='"', escape="\\", multiLine=True, mode="PERMISSIVE", enforceSchema=True, nullValue="\u0000", emptyValue="\u0001").csv(path)
-    value = lambda i: F.when(F.col(f"_{i}") == "\u0001", F.lit("")).otherwise(F.when(F.col(f"_{i}") != "", F.col(f"_{i}")))
-    return Table(text.select(*(cell(value(i), k).alias(n) for i, (n, k) in enumerate(zip(g.names, g.types)))))
+    text = spark.read.schema(raw).options(sep=g.separator, header=g.has_header, quote='"', escape="\\", multiLine=multi_line, mode="PERMISSIVE", enforceSchema=True, **EMPTY).csv(path)
+    return Table(text.select(*(cell(told(F.col(f"_{i}")), k).alias(n) for i, (n, k) in enumerate(zip(g.names, g.types)))))
+
+
+def read_string(spark: SparkSession, text: str, guess: Guess | None = None) -> Table:
+    """Like read_csv, of a text in memory, in the order of its records. An open quote at a line's end goes on in the next."""
+    g, records, open_ = guess or sniff(text), [], False
+    for line in text.removesuffix("\n").split("\n"):
+        line = line.removesuffix("\r")
+        odd = len(re.sub(r"\\.", "", line).split('"')) % 2 == 0
+        if open_:
+            records[-1] += "\n" + line
+        else:
+            records.append(line)
+        open_ = open_ != odd
+    if len(set(g.names)) < len(g.names):
+        raise DuplicateColumn(", ".join(g.names))
+    rows = [(i, r) for i, r in enumerate(records[g.has_header :]) if r]
+    lines = spark.createDataFrame(rows, "__pos long, value string")
+    return Table(parse_rows(spark, lines, g, "__pos"))
 
 
-def parse_rows(spark: SparkSession, lines: DataFrame, guess: Guess) -> DataFrame:
-    """Rows of an existing text column `value` (one record each) parsed like those of a file."""
+def parse_rows(spark: SparkSession, lines: DataFrame, guess: Guess, *keep: str) -> DataFrame:
+    """Rows of an existing text column `value` (one record each) parsed like those of a file, with the columns `keep`."""
     names = ", ".join(f"_{i} string" for i in range(len(guess.names)))
-    parsed = lines.select(F.from_csv("value", names, {"sep": guess.separator, "escape": "\\"}).alias("r"))
-    return parsed.select(*(cell(F.col(f"r._{i}"), k).alias(n) for i, (n, k) in enumerate(zip(guess.names, guess.types))))
+    options = {"sep": guess.separator, "escape": "\\", "multiLine": "true", **EMPTY}
+    parsed = lines.select(F.from_csv("value", names, options).alias("r"), *keep)
+    return parsed.select(*keep, *(cell(told(F.col(f"r._{i}")), k).alias(n) for i, (n, k) in enumerate(zip(guess.names, guess.types))))

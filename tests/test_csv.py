@@ -1,7 +1,7 @@
 import pytest
 
 from tabgraph import errors
-from tabgraph.sources.csv import fits, parse_rows, read_csv, sniff
+from tabgraph.sources.csv import fits, parse_rows, read_csv, read_string, sniff
 
 
 def test_sniffing():
@@ -33,3 +33,24 @@ def test_files(spark, tmp_path):
     assert t.df.dtypes == [("a", "string"), ("b", "bigint"), ("c", "boolean"), ("d", "double")] and t.count() == 2
     lines = spark.createDataFrame([("x,7,t,inf",)], "value string")
     assert tuple(parse_rows(spark, lines, g).first()) == ("x", 7, True, float("inf"))
+
+
+def test_a_string_reads_like_a_file(spark, tmp_path):
+    text = 'name|n|ok\n"as|df"|1|f\n"two\nlines"|12abc|t\r\n""||true\nshort|4\n"a \\"quoted\\" one"|5|f|extra\n|7|t\n"Ж日本🙂"|8|f\n'
+    t = read_string(spark, text)
+    want = [("as|df", 1, False), ("two\nlines", 12, True), ("", None, True), ("short", 4, None), ('a "quoted" one', 5, False), (None, 7, True), ("Ж日本🙂", 8, False)]
+    assert t.names == ["name", "n", "ok", "col_3"]  # sniffing looks at no quotes
+    from tabgraph.sources.csv import Guess
+
+    g = Guess("|", True, ("name", "n", "ok"), ("string", "bigint", "boolean"))
+    assert [tuple(r) for r in read_string(spark, text, g).ordered().collect()] == want
+    (tmp_path / "x.csv").write_text(text)
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "x.csv"), g).df.collect()] == want
+    plain = "a,b\n" + "".join(f"{i},x\n" for i in range(100))
+    (tmp_path / "y.csv").write_text(plain)
+    assert read_csv(spark, str(tmp_path / "y.csv"), multi_line=False).count() == 100 == read_string(spark, plain).count()
+    with pytest.raises(errors.DuplicateColumn):
+        read_string(spark, "a,a\n1,2\n")
+    with pytest.raises(errors.DuplicateColumn):
+        (tmp_path / "z.csv").write_text("a,a\n1,2\n")
+        read_csv(spark, str(tmp_path / "z.csv"))

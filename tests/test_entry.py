@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from tabgraph import catalogue
 
 DIR = "/root/testdata/sf0.001"
-SOME = ["filter_not_includes_nulls", "group_longest", "left_join_null_keys", "sort_two_keys_desc_nulls_first_topn", "zip_pipelines", "clustering_coefficient", "summarize_string", "session", "concat_tables"]
+SOME = ["filter_not_includes_nulls", "group_longest", "left_join_null_keys", "sort_two_keys_desc_nulls_first_topn", "zip_pipelines", "clustering_coefficient", "summarize_string", "session", "concat_tables", "sort_then_filter", "sort_twice", "sort_then_group", "concat_three", "gather_rows", "mask_from_positions", "mask_positions", "mask_extension", "append_rows", "group_updating_span", "table_equality"]
 
 
 def test_the_flagship(spark):

@@ -52,12 +52,14 @@ def test_closure_and_search(spark, dist7):
 def test_depth_first_orders(spark):
     tree = graph(spark, 5, [(0, 1), (1, 2), (1, 3), (3, 4)])
     assert [r.id for r in ordering.topological(tree).orderBy("place").collect()] == [0, 1, 3, 4, 2]
-    assert by_id(ordering.topological_layers(spark, tree), "layer") == [0, 1, 2, 2, 3]
+    assert by_id(ordering.topological_layers(spark, tree), "layer") == [0, 1, 2, 2, 3] == by_id(ordering.layers_any(spark, tree), "layer")
     cyclic = graph(spark, 5, [(0, 1), (1, 2), (1, 3), (3, 4), (4, 3)])
     with pytest.raises(Exception, match="cycle"):
         ordering.topological(cyclic).collect()
     with pytest.raises(errors.CycleDetected):
         ordering.topological_layers(spark, cyclic)
+    with pytest.raises(Exception, match="cycle"):
+        ordering.layers_any(spark, cyclic).collect()
     with pytest.raises(errors.TooLarge):
         ordering.topological(tree, bound=3)
     scc = graph(spark, 4, [(0, 1), (1, 2), (2, 3), (3, 1)])
@@ -96,6 +98,9 @@ def test_changes(spark):
     assert g.has_parallel_edges().first()[0] and g.remove_edge(0, 1).edges.count() == 2 and g.clear(0).edges.count() == 2
     assert g.remove(1).edges.count() == 1 and g.remove(1).vertices.count() == 2
     assert by_id(g.degrees(), "out_degree", "in_degree", "degree") == [(2, 0, 2), (1, 2, 3), (1, 2, 3)]
+    u = graph(spark, 3, [(0, 1), (1, 0), (1, 2)], True)
+    assert u.remove_edge(1, 0).edges.count() == 1 and g.degree_summary().first() == (3, 3, 8 / 3) and g.by_frequency().first().degree == 3
+    assert ordering.strong_summary(spark, g).first() == (3, 1, False)
     moved = g.mapped(spark.createDataFrame([(0, 10), (1, 11), (2, 12)], "id long, new long"))
     assert sorted(r.src for r in moved.edges.collect()) == [10, 10, 11, 12]
     assert by_id(g.with_property(spark.createDataFrame([(1, "x")], "id long, p string"), "p", "none").vertices, "p") == ["none", "x", "none"]

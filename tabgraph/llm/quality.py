@@ -5,17 +5,18 @@ from __future__ import annotations
 import math
 import re
 import string
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold, load, row_pass, written
+from .common import bounded_sample, fold, free, load, row_pass, written
 
-#: Labelled rows that a model is fitted on, at most twice as many; everything else is over all rows.
+#: Labelled rows that the classifier is fitted on, at most twice as many; everything else is over all rows.
 SAMPLE = 3000
 
 
@@ -143,6 +144,8 @@ RATIOS = ("word length", "symbols a word", "marks a word", "log of n_words", "sh
 #: anomalies of a single forest and leave nothing to what texts are made of.
 FORESTS = ((0, 1, 2, 3), (3, 4, 5))
 MIN_WORDS, MAX_REPEAT = 50, 0.5
+DEPTH = 7  # of the trees, whatever the number of rows
+PART = 16_384  # labelled rows a task
 
 
 def repeated_words(words: Sequence[bytes]) -> int:
@@ -180,8 +183,8 @@ def statistics(text: str) -> tuple[list[int], list[float]]:
     return [n, chars, symbols, dup, repeat], [chars / m, symbols / m, marks / m, math.log1p(n), dup / max(lines, 1), repeat / m]
 
 
-def base_failed(n_words: int, n_repeat_words: int) -> bool:
-    return n_words < MIN_WORDS or n_repeat_words > MAX_REPEAT * n_words
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < MIN_WORDS) | (n_repeat_words > MAX_REPEAT * n_words)
 
 
 def _expected(n: int) -> float:
@@ -192,51 +195,69 @@ def _expected(n: int) -> float:
 class IsolationForest:
     """Trees of random splits of full depth, kept as arrays; a point's score is 2 ** (-mean path length / expected).
 
+    Every point goes through every tree. A level needs only the number of points at each node of the one before and the least
+    and greatest of their values, which parts of the points give apart: `extents` of each part, merged, go to `grow`.
+
     The share `fences` of the splits stands just outside a random statistic's values at its node, where it parts none of the
-    sample's points: what lies beyond all that was seen, even of a statistic that never varied, is alone there.
+    points: what lies beyond all that was seen, even of a statistic that never varied, is alone there.
     """
 
-    def __init__(self, points: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7, fences: float = 0.15):
-        rng = np.random.default_rng(seed)
-        self.size = min(sample, len(points))
-        self.depth = max(1, math.ceil(math.log2(max(2, self.size))))
-        inner, leaves = (1 << self.depth) - 1, 1 << self.depth
+    def __init__(self, points: np.ndarray | None = None, size: int = 0, trees: int = 100, depth: int = DEPTH, seed: int = 7, fences: float = 0.15):
+        self.size, self.seed, self.fences = size if points is None else len(points), seed, fences
+        self.depth = max(1, min(depth, math.ceil(math.log2(max(2, self.size)))))
+        inner = (1 << self.depth) - 1
         self.feature = np.zeros((trees, inner), np.int64)
         self.split = np.full((trees, inner), np.inf)
-        self.path = np.zeros((trees, leaves))
-        for t in range(trees):
-            own = points[rng.choice(len(points), self.size, replace=False)] if len(points) else points
-            stack = [(0, 0, own, None)]
-            while stack:
-                node, depth, x, done = stack.pop()
-                if done is None:
-                    spread = np.flatnonzero(x.max(0) > x.min(0)) if len(x) > 1 else []
-                    if depth == self.depth or not len(spread):
-                        done = depth + _expected(len(x))
-                if depth == self.depth:
-                    self.path[t, node - inner] = done
-                    continue
-                if done is not None:  # a leaf above full depth: its value goes down both ways
-                    stack += [(2 * node + 1, depth + 1, x, done), (2 * node + 2, depth + 1, x, done)]
-                    continue
-                if rng.random() < fences:
-                    f = rng.integers(x.shape[1])
-                    cut = x[:, f].max() if rng.random() < 0.5 else np.nextafter(x[:, f].min(), -np.inf)
-                else:
-                    f = rng.choice(spread)
-                    cut = rng.uniform(x[:, f].min(), x[:, f].max())
-                self.feature[t, node], self.split[t, node] = f, cut
-                right = x[:, f] > cut
-                stack += [(2 * node + 1, depth + 1, x[~right], None), (2 * node + 2, depth + 1, x[right], None)]
+        self.path = np.zeros((trees, inner + 1))
+        self.stop = np.full((trees, 1), self.depth)  # of the level last grown: the depth that a node's path ends at
+        if points is not None:
+            for level in range(self.depth + 1):
+                self.grow(level, *self.extents(points, level))
+
+    def nodes(self, points: np.ndarray, level: int) -> np.ndarray:
+        """The place among its level's nodes that each point comes to in each tree."""
+        at, trees = np.zeros((len(points), len(self.path)), np.int64), np.arange(len(self.path))
+        rows = np.arange(len(points))[:, None]
+        for _ in range(level):
+            at = 2 * at + 1 + (points[rows, self.feature[trees, at]] > self.split[trees, at])
+        return at - ((1 << level) - 1)
+
+    def extents(self, points: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of points at each node of a level, tree by tree, and by statistic their least and greatest values (not
+        of the last level, which has no splits)."""
+        trees, wide = len(self.path), len(self.path) << level
+        at = (self.nodes(points, level) + (np.arange(trees) << level)).ravel()
+        lo, hi = np.full((points.shape[1], wide), np.inf), np.full((points.shape[1], wide), -np.inf)
+        for f in range(points.shape[1] if level < self.depth else 0):
+            x = np.repeat(points[:, f], trees)
+            np.minimum.at(lo[f], at, x)
+            np.maximum.at(hi[f], at, x)
+        return np.bincount(at, minlength=wide), lo, hi
+
+    def grow(self, level: int, n: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        """Sets a level's splits, or the path lengths at the last, by the extents of all points. A node whose points are equal
+        has no split: they go on left, and their path ends there."""
+        shape = (len(self.path), 1 << level)
+        stop = np.repeat(self.stop, 2, axis=1) if level else self.stop
+        if level == self.depth:
+            self.path = stop + np.vectorize(_expected, otypes=[float])(n.reshape(shape))
+            return
+        lo, hi = lo.reshape(-1, *shape), hi.reshape(-1, *shape)
+        spread = hi > lo
+        some = spread.any(0)
+        fence, side, which, place = np.random.default_rng([self.seed, level]).random((4, *shape))
+        fence = fence < self.fences
+        f = np.where(fence, which * len(lo), (np.cumsum(spread, axis=0) > np.floor(which * spread.sum(0))).argmax(0)).astype(np.int64)
+        least, most = (np.where(some, np.take_along_axis(x, f[None], 0)[0], 0.0) for x in (lo, hi))
+        cut = np.where(fence, np.where(side < 0.5, most, np.nextafter(least, -np.inf)), least + place * (most - least))
+        here = slice((1 << level) - 1, (2 << level) - 1)
+        self.feature[:, here], self.split[:, here] = np.where(some, f, 0), np.where(some, cut, np.inf)
+        self.stop = np.minimum(stop, np.where(some, self.depth, level))
 
     def scores(self, points: np.ndarray) -> np.ndarray:
         if not len(points) or self.size < 2:
             return np.zeros(len(points))
-        at, trees = np.zeros((len(points), len(self.path)), np.int64), np.arange(len(self.path))
-        rows = np.arange(len(points))[:, None]
-        for _ in range(self.depth):
-            at = 2 * at + 1 + (points[rows, self.feature[trees, at]] > self.split[trees, at])
-        return 2.0 ** (-self.path[trees, at - self.feature.shape[1]].mean(1) / _expected(self.size))
+        return 2.0 ** (-self.path[np.arange(len(self.path)), self.nodes(points, self.depth)].mean(1) / _expected(self.size))
 
 
 def calibrated(clean: np.ndarray, bad: np.ndarray, clean_loss: float) -> float:
@@ -254,47 +275,136 @@ def calibrated(clean: np.ndarray, bad: np.ndarray, clean_loss: float) -> float:
     return float((caught[0] + below[below < caught[0]].max(initial=0.0)) / 2)
 
 
-def fit_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, clean_loss: float = 0.005) -> list[tuple[IsolationForest, float]]:
-    """A forest for each of FORESTS, grown on a bounded sample of labelled rows that pass the base rules, and its threshold, which
-    its share of `clean_loss` calibrates on those rows' labels."""
-    add = T.StructType().add("n", "long").add("repeat", "long").add("ratios", T.ArrayType(T.DoubleType()))
-
-    def fn(texts: list[str]) -> dict[str, list]:
-        got = [statistics(x) for x in texts]
-        return {"n": [c[0] for c, _ in got], "repeat": [c[4] for c, _ in got], "ratios": [r for _, r in got]}
-
-    got = row_pass(labelled(spark, docs, labels, F.lit(True), rows), fn, add, drop=["text"]).toArrow().to_pylist()
-    got = sorted((r for r in got if not base_failed(r["n"], r["repeat"])), key=lambda r: xxhash.xxh64_intdigest(str(r["doc_id"])))
-    points = np.array([r["ratios"] for r in got], np.float64).reshape(len(got), len(RATIOS))
-    good = np.array([r["quality"] > 0 for r in got], bool)
-    out = []
-    for at in FORESTS:
-        forest = IsolationForest(points[:, at])
-        score = forest.scores(points[:, at])
-        out.append((forest, calibrated(score[good], score[~good], clean_loss / len(FORESTS))))
-    return out
-
-
-def judge(texts: Sequence[str], forests: list[tuple[IsolationForest, float]]) -> dict[str, list]:
-    got = [statistics(x) for x in texts]
-    points = np.array([r for _, r in got], np.float64).reshape(len(got), len(RATIOS))
-    over = np.max([forest.scores(points[:, at]) - threshold for at, (forest, threshold) in zip(FORESTS, forests)], axis=0)
-    failed = [base_failed(c[0], c[4]) for c, _ in got]
-    return {name: [c[k] for c, _ in got] for k, name in enumerate(BASE)} | {"base_failed": failed, "kept": [not f and s < 0 for f, s in zip(failed, over.tolist())], "anomaly": over.tolist()}
+def calibrated_rows(scores: DataFrame, clean_loss: float) -> float:
+    """`calibrated` over all rows of (good, bits): a score's bits as a long, which order as scores do. The clean score that the
+    share falls on is found by counts, 16 bits at a time, so that the driver sees at most 65,536 of them at once."""
+    clean, prefix, skip = scores.where("good"), 0, None
+    for shift in (48, 32, 16, 0):
+        own = clean.where(F.shiftright("bits", shift + 16) == prefix) if shift < 48 else clean
+        counts = own.groupBy(F.shiftright("bits", shift).alias("prefix")).count().toArrow().to_pylist()
+        if skip is None:
+            skip = int(clean_loss * sum(r["count"] for r in counts))
+        for r in sorted(counts, key=lambda r: -r["prefix"]):
+            prefix = r["prefix"]
+            if skip < r["count"]:
+                break
+            skip -= r["count"]
+        if not counts:
+            return math.inf
+    value = lambda bits: float(np.int64(bits).view(np.float64))
+    caught = scores.where(~F.col("good") & (F.col("bits") > prefix)).agg(F.min("bits")).first()[0]
+    if caught is None:
+        return value(prefix + 1)
+    return (value(caught) + value(scores.where(F.col("bits") < caught).agg(F.max("bits")).first()[0])) / 2
+
+
+def measured(spark: SparkSession, docs: DataFrame, name: str, drop: Sequence[str] = ()) -> DataFrame:
+    """docs, written, with an array of each text's BASE counts and RATIOS."""
+    add = T.StructType().add(name, T.ArrayType(T.DoubleType()))
+    return written(spark, row_pass(docs, lambda texts: {name: [[*c, *r] for c, r in map(statistics, texts)]}, add, drop=drop), "measures")
+
+
+def _matrix(arrays: pa.ListArray, width: int) -> np.ndarray:
+    return arrays.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def base_count(measures: Column, name: str) -> Column:
+    return measures[BASE.index(name)].cast("long")
+
+
+def failed(measures: Column) -> Column:
+    return base_failed(base_count(measures, "n_words"), base_count(measures, "n_repeat_words"))
+
+
+def grown(points: DataFrame, size: int) -> list[IsolationForest]:
+    """A forest for each of FORESTS that all `size` rows of points (ratios) go through, a pass over them for each level."""
+    forests = [IsolationForest(size=size) for _ in FORESTS]
+    ends = [f"{end}{k}" for end in ("lo", "hi") for k in range(max(map(len, FORESTS)))]
+
+    def extents(level: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            all_ = [forest.extents(np.empty((0, len(at))), level) for at, forest in zip(FORESTS, forests)]
+            for batch in batches:
+                x = _matrix(batch.column("ratios"), len(RATIOS))
+                for k, (at, forest) in enumerate(zip(FORESTS, forests)):
+                    n, lo, hi = forest.extents(x[:, at], level)
+                    all_[k] = (all_[k][0] + n, np.minimum(all_[k][1], lo), np.maximum(all_[k][2], hi))
+            for k, (n, lo, hi) in enumerate(all_):
+                some = np.flatnonzero(n)
+                own = {"forest": np.full(len(some), k, np.int32), "node": some.astype(np.int32), "n": n[some].astype(np.int64)}
+                for name in ends:
+                    x = (lo if name[:2] == "lo" else hi)[int(name[2:]) % len(lo)]
+                    own[name] = x[some]
+                yield pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in own.items()})
+
+        return run
+
+    for level in range(forests[0].depth + 1):
+        parts = points.select("ratios").mapInArrow(extents(level), "forest int, node int, n long, " + ", ".join(f"{c} double" for c in ends))
+        t = parts.groupBy("forest", "node").agg(F.sum("n").alias("n"), *(F.min(c).alias(c) if c[:2] == "lo" else F.max(c).alias(c) for c in ends)).toArrow()
+        t = {c: t[c].to_numpy() for c in t.column_names}
+        for k, (at, forest) in enumerate(zip(FORESTS, forests)):
+            n, lo, hi = forest.extents(np.empty((0, len(at))), level)
+            own = t["forest"] == k
+            n[t["node"][own]] = t["n"][own]
+            for f in range(len(at)):
+                lo[f, t["node"][own]], hi[f, t["node"][own]] = t[f"lo{f}"][own], t[f"hi{f}"][own]
+            forest.grow(level, n, lo, hi)
+    return forests
+
+
+def fit_measured(spark: SparkSession, measures: DataFrame, name: str, labels: DataFrame, clean_loss: float = 0.005) -> list[tuple[IsolationForest, float]]:
+    """A forest for each of FORESTS, grown on all rows that pass the base rules and whose id has a label, and its threshold, which
+    its share of `clean_loss` calibrates on the labels of all of them. Null ids and labels are left out; of several labels
+    of an id the least counts."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg((F.min("quality") > 0).alias("good"))
+    known = written(spark, known, "labels")
+    passed = measures.where(~failed(F.col(name))).select("doc_id", F.slice(name, len(BASE) + 1, len(RATIOS)).alias("ratios"))
+    points = passed.join(known, F.col("doc_id") == F.col("__id")).select("ratios", "good")
+    points = written(spark, points.repartition(max(1, -(-known.count() // PART))), "points")
+    forests = grown(points, points.count())
+    names = [f"bits{k}" for k in range(len(FORESTS))]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column("ratios"), len(RATIOS))
+            yield pa.RecordBatch.from_arrays([batch.column("good"), *(pa.array(forest.scores(x[:, at]).view(np.int64)) for at, forest in zip(FORESTS, forests))], ["good", *names])
+
+    scores = written(spark, points.mapInArrow(run, "good boolean, " + ", ".join(f"{c} long" for c in names)), "scores")
+    return [(forest, calibrated_rows(scores.select("good", F.col(c).alias("bits")), clean_loss / len(FORESTS))) for forest, c in zip(forests, names)]
+
+
+def fit_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> list[tuple[IsolationForest, float]]:
+    """`fit_measured` of docs."""
+    return fit_measured(spark, measured(spark, docs.select("doc_id", "text"), "measures", drop=["text"]), "measures", labels)
+
+
+def anomaly(forests: list[tuple[IsolationForest, float]]) -> Callable[[Column], Column]:
+    """Of the column of measures: the most that a forest's score is over its threshold, at 0 and above a rejection."""
+
+    @F.arrow_udf("double")
+    def over(measures: pa.Array) -> pa.Array:
+        x = _matrix(measures, len(BASE) + len(RATIOS))[:, len(BASE) :]
+        return pa.array(np.max([forest.scores(x[:, at]) - threshold for at, (forest, threshold) in zip(FORESTS, forests)], axis=0))
+
+    return over
 
 
 def rule_verdicts(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, the base counts, base_failed, kept, anomaly) of each row; a null text has no words and fails. anomaly is the most
-    that a forest's score is over its threshold, at 0 and above a rejection."""
-    forests = fit_rules(spark, docs, labels)
-    add = T.StructType([T.StructField(x, T.LongType()) for x in BASE]).add("base_failed", "boolean").add("kept", "boolean").add("anomaly", "double")
-    return row_pass(docs.select("doc_id", "text"), lambda x: judge(x, forests), add, drop=["text"])
+    """(doc_id, the base counts, base_failed, kept, anomaly) of each row; a null text has no words and fails."""
+    m = F.col("measures")
+    rows = measured(spark, docs.select("doc_id", "text"), "measures", drop=["text"])
+    over = anomaly(fit_measured(spark, rows, "measures", labels))
+    out = rows.select("doc_id", *(base_count(m, c).alias(c) for c in BASE), failed(m).alias("base_failed"), over(m).alias("anomaly"))
+    return out.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.col("anomaly") < 0)).alias("kept"), "anomaly")
 
 
 def within_rules(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the base rules or the forest reject; all columns as they were."""
-    forests = fit_rules(spark, docs, labels)
-    return row_pass(docs, lambda x: judge(x, forests), T.StructType(), keep=lambda got: got["kept"])
+    name = free(docs, "measures")
+    rows = measured(spark, docs, name)
+    over = anomaly(fit_measured(spark, rows, name, labels))
+    return rows.where(~failed(F.col(name)) & (over(F.col(name)) < 0)).select(*docs.columns)
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -360,7 +360,7 @@ def fit_measured(spark: SparkSession, measures: DataFrame, name: str, labels: Da
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg((F.min("quality") > 0).alias("good"))
     known = written(spark, known, "labels")
     passed = measures.where(~failed(F.col(name))).select("doc_id", F.slice(name, len(BASE) + 1, len(RATIOS)).alias("ratios"))
-    points = passed.join(known, F.col("doc_id") == F.col("__id")).select("ratios", "good")
+    points = passed.join(known.hint("merge"), F.col("doc_id") == F.col("__id")).select("ratios", "good")
     points = written(spark, points.repartition(max(1, -(-known.count() // PART))), "points")
     forests = grown(points, points.count())
     names = [f"bits{k}" for k in range(len(FORESTS))]

@@ -54,6 +54,17 @@ def test_forests_and_thresholds_of_all_labelled_rows(spark, monkeypatch):
     assert len(verdicts) == ROWS and all(verdicts[i] == kept[i] for i in range(ROWS))
 
 
+def test_the_pipelines_stage_learns_from_all_labelled_rows(spark, tmp_path):
+    import corpus_pipeline as P
+
+    docs, labels, rows = tables(spark)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    _, _, kept = whole(rows)
+    got = P.quality_rules(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(tuple(r) for r in got.collect()) == [r for r, k in zip(rows, kept) if k]
+
+
 @pytest.mark.parametrize("clean, bad, share", [(40, 30, 0.05), (900, 50, 0.3), (25, 0, 0.1), (0, 9, 0.1), (7, 7, 0)])
 def test_thresholds_by_counts(spark, clean, bad, share):
     rng = random.Random(clean)

@@ -3,101 +3,164 @@
 from __future__ import annotations
 
 import heapq
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabgraph.errors import CycleDetected, TooLarge
 from tabgraph.runtime import Grown, ranked, written
 
+from .flat import numbers, pieces, ranges
 from .graph import Graph
 
-BOUND = 1_000_000  # vertices and edges together that a sequential algorithm takes
+BOUND = 150_000_000  # vertices and edges together that a sequential algorithm takes, at 4 bytes an edge (12 with weights)
+CHUNK = 65_536  # rows that a task hands on at once
+
+
+class Flat:
+    """A graph in flat arrays: ids[v] is the id of vertex v, its out-edges are to[first[v]:last[v]], in order of edges."""
+
+    def __init__(self, ids: np.ndarray, degree: np.ndarray, to: np.ndarray, weight: np.ndarray | None):
+        self.ids, self.count, self.targets = ids, len(ids), to
+        self.ends = np.cumsum(degree)
+        self.starts = self.ends - degree
+        self.first, self.last, self.to = memoryview(self.starts), memoryview(self.ends), memoryview(to)  # plain numbers, one at a time
+        self.weight = None if weight is None else memoryview(weight)
+
+    def number(self, ids) -> np.ndarray:
+        return numbers(self.ids, np.asarray(ids, np.int64))
+
+
+def _flat(batches: Iterator[pa.RecordBatch], edges: int, weighted: bool) -> Flat:
+    """Of batches (edge, id, to, w), the vertices before the edges and these sorted by source."""
+    found, ids, degree, at = [], None, None, 0
+    to, weight = np.empty(edges, np.int32), np.empty(edges) if weighted else None
+    for b in batches:
+        n = b.num_rows - (b.column(0).true_count or 0)
+        if n:
+            found.append(b.column(1).slice(0, n).to_numpy())
+        if n == b.num_rows:
+            continue
+        if ids is None:
+            ids = np.unique(np.concatenate(found))
+            degree = np.zeros(len(ids), np.int64)
+        source, k = np.unique(numbers(ids, b.column(1).slice(n).to_numpy()), return_counts=True)
+        degree[source] += k
+        end = at + b.num_rows - n
+        to[at:end] = numbers(ids, b.column(2).slice(n).to_numpy())
+        if weighted:
+            weight[at:end] = b.column(3).slice(n).to_numpy()
+        at = end
+    if ids is None:
+        ids = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        degree = np.zeros(len(ids), np.int64)
+    return Flat(ids, degree, to[:at], weight)
 
 
 def _single(graph: Graph, fn, schema: str, bound: int, weight: str | Column | None = None) -> DataFrame:
-    """fn(ids, out-edges by vertex, in order of edges) in one task, behind a check of the size. With `weight` an out-edge is
-    (target, weight)."""
+    """The columns that fn(flat graph) yields, chunk by chunk, in one task behind a check of the size. Spark sorts the edges,
+    and neither they nor the results are ever Python objects as a whole."""
     v, e = graph.vertices.select("id"), graph.both_ways()
-    if v.count() + e.count() > bound:
+    edges = e.count()
+    if v.count() + edges > bound:
         raise TooLarge(f"more than {bound} vertices and edges; use the scalable form")
     order = F.col("eid") if "eid" in e.columns else F.monotonically_increasing_id()
-    rows = v.select("id", F.lit(None).cast("long").alias("to"), F.lit(-1).cast("long").alias("at"), F.lit(0.0).alias("w"))
     weighted = weight is not None
+    rows = v.select(F.lit(False).alias("edge"), F.col("id").cast("long"), F.lit(0).cast("long").alias("to"), F.lit(0.0).alias("w"), F.lit(0).cast("long").alias("at"))
     own = F.lit(0.0) if not weighted else F.col(weight).cast("double") if isinstance(weight, str) else weight
-    rows = rows.union(e.select("src", "dst", order.cast("long"), own))
+    rows = rows.union(e.select(F.lit(True), F.col("src").cast("long"), F.col("dst").cast("long"), own, order.cast("long")))
+    rows = rows.repartition(1).sortWithinPartitions("edge", "id", "at").select("edge", "id", "to", *(["w"] if weighted else []))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for columns in fn(_flat(batches, edges, weighted)):
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _sliced(*columns: np.ndarray):
+    for at in range(0, len(columns[0]), CHUNK):
+        yield [c[at : at + CHUNK] for c in columns]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable")
-        ids = sorted(pdf[pdf["to"].isna()]["id"].tolist())
-        out: dict[int, list] = {i: [] for i in ids}
-        for a, b, w in pdf[pdf["to"].notna()][["id", "to", "w"]].astype({"id": "int64", "to": "int64"}).itertuples(index=False):
-            out[a].append((b, w) if weighted else b)
-        return fn(ids, out)
 
-    return rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, schema)
+def _events(flat: Flat, events: Iterator[tuple]):
+    """Columns (step, kind, vertex, target) of events (kind, vertex, target or -1), by chunks."""
+    step = 0
+    while chunk := list(islice(events, CHUNK)):
+        kind, vertex, target = zip(*chunk)
+        target = np.array(target)
+        yield np.arange(step, step + len(chunk)), pa.array(kind, pa.string()), flat.ids[np.array(vertex)], pa.array(flat.ids[target], mask=target < 0)
+        step += len(chunk)
 
 
-def _walk(ids: list[int], out: dict[int, list[int]], roots: list[int] | None = None):
-    """Depth-first events (kind, vertex, target) with an explicit stack."""
-    colour: dict[int, int] = {}
-    for root in ids if roots is None else roots:
-        if colour.get(root):
+def _walk(flat: Flat, roots: Iterable[int] | None = None):
+    """Depth-first events (kind, vertex, target or -1) with an explicit stack."""
+    colour, at, last, to = bytearray(flat.count), array("q", flat.first), flat.last, flat.to
+    for root in range(flat.count) if roots is None else roots:
+        if colour[root]:
             continue
-        yield "start", root, None
+        yield "start", root, -1
         colour[root] = 1
-        yield "discover", root, None
-        stack = [(root, iter(out[root]))]
+        yield "discover", root, -1
+        stack = [root]
         while stack:
-            v, todo = stack[-1]
-            for t in todo:
+            v = stack[-1]
+            for i in range(at[v], last[v]):
+                t = to[i]
                 yield "examine", v, t
-                if not colour.get(t):
+                if not colour[t]:
                     yield "tree", v, t
                     colour[t] = 1
-                    yield "discover", t, None
-                    stack.append((t, iter(out[t])))
+                    yield "discover", t, -1
+                    at[v] = i + 1
+                    stack.append(t)
                     break
                 yield ("back" if colour[t] == 1 else "forward_or_cross"), v, t
             else:
                 colour[v] = 2
-                yield "finish", v, None
+                yield "finish", v, -1
                 stack.pop()
 
 
 def depth_first(graph: Graph, roots: list[int] | None = None, bound: int = BOUND) -> DataFrame:
     """(step, kind, vertex, target) of a traversal from the roots, or from all vertices in order of their ids."""
 
-    def fn(ids, out):
-        rows = list(_walk(ids, out, roots))
-        return pd.DataFrame({"step": range(len(rows)), "kind": [r[0] for r in rows], "vertex": [r[1] for r in rows], "target": pd.array([r[2] for r in rows], dtype="Int64")})
+    def fn(flat):
+        return _events(flat, _walk(flat, None if roots is None else flat.number(roots).tolist()))
 
     return _single(graph, fn, "step long, kind string, vertex long, target long", bound)
 
 
-def _searched(ids: list[int], out: dict[int, list[tuple[int, float]]], starts: list[int], end: int | None, nearest: bool):
-    """Events (kind, vertex, target) of a search by layers or, with `nearest`, by distance, until `end` is examined."""
-    colour, far, queue, n = {}, {}, [], 0
+def _searched(flat: Flat, starts: list[int], end: int | None, nearest: bool):
+    """Events (kind, vertex, target or -1) of a search by layers or, with `nearest`, by distance, until `end` is examined."""
+    first, last, to, weight = flat.first, flat.last, flat.to, flat.weight
+    colour, far, queue, n = bytearray(flat.count), array("d", bytes(8 * flat.count)), [], 0
     for s in dict.fromkeys(starts):
-        yield "start", s, None
-        yield "discover", s, None
-        colour[s], far[s] = 1, 0.0
+        yield "start", s, -1
+        yield "discover", s, -1
+        colour[s] = 1
         heapq.heappush(queue, (0.0, n, s))
         n += 1
     while queue:
         d, _, v = heapq.heappop(queue)
         if colour[v] == 2:  # a nearer way to it was found meanwhile
             continue
-        yield "examine", v, None
+        yield "examine", v, -1
         if v == end:
             return
-        for t, w in out[v]:
+        for i in range(first[v], last[v]):
+            t = to[i]
             yield "examine_edge", v, t
-            new = d + (w if nearest else 1)
-            if t not in colour:
+            new = d + (weight[i] if nearest else 1)
+            if not colour[t]:
                 yield "tree", v, t
-                yield "discover", t, None
+                yield "discover", t, -1
                 colour[t] = 1
             elif nearest and colour[t] == 1 and new < far[t]:
                 yield "relaxed", v, t
@@ -108,7 +171,7 @@ def _searched(ids: list[int], out: dict[int, list[tuple[int, float]]], starts: l
             heapq.heappush(queue, (new, n, t))
             n += 1
         colour[v] = 2
-        yield "finish", v, None
+        yield "finish", v, -1
 
 
 def search_events(graph: Graph, starts: list[int], end: int | None = None, weight: str | None = None, bound: int = BOUND) -> DataFrame:
@@ -119,24 +182,24 @@ def search_events(graph: Graph, starts: list[int], end: int | None = None, weigh
 
     nearest = weight is not None
 
-    def fn(ids, out):
-        rows = list(_searched(ids, out, starts, end, nearest))
-        return pd.DataFrame({"step": range(len(rows)), "kind": [r[0] for r in rows], "vertex": [r[1] for r in rows], "target": pd.array([r[2] for r in rows], dtype="Int64")})
+    def fn(flat):
+        stop = None if end is None else int(np.searchsorted(flat.ids, end)) if end in flat.ids else None
+        return _events(flat, _searched(flat, flat.number(starts).tolist(), stop, nearest))
 
-    return _single(graph, fn, "step long, kind string, vertex long, target long", bound, weight or F.lit(1.0))
+    return _single(graph, fn, "step long, kind string, vertex long, target long", bound, weight)
 
 
 def topological(graph: Graph, bound: int = BOUND) -> DataFrame:
     """(place, id) in reverse order of finishing; a cycle is an error when the result is asked for."""
 
-    def fn(ids, out):
-        done = []
-        for kind, v, _ in _walk(ids, out):
+    def fn(flat):
+        done = array("q")
+        for kind, v, _ in _walk(flat):
             if kind == "back":
                 raise CycleDetected("cycle")
             if kind == "finish":
                 done.append(v)
-        return pd.DataFrame({"place": range(len(done)), "id": done[::-1]}, dtype="int64")
+        return _sliced(np.arange(len(done)), flat.ids[np.array(done, np.int64)[::-1]])
 
     return _single(graph, fn, "place long, id long", bound)
 
@@ -164,21 +227,22 @@ def layers_any(spark: SparkSession, graph: Graph, bound: int = BOUND) -> DataFra
     if not fits(graph, bound):
         return topological_layers(spark, graph)
 
-    def fn(ids, out):
-        waits, layer = dict.fromkeys(ids, 0), dict.fromkeys(ids, 0)
-        for targets in out.values():
-            for t in targets:
-                waits[t] += 1
-        free = [i for i in ids if not waits[i]]
-        for v in free:
-            for t in out[v]:
-                layer[t] = max(layer[t], layer[v] + 1)
-                waits[t] -= 1
-                if not waits[t]:
-                    free.append(t)
-        if len(free) < len(ids):
+    def fn(flat):
+        waits, layer = np.zeros(flat.count, np.int64), np.zeros(flat.count, np.int32)
+        for at in range(0, len(flat.targets), 1 << 22):
+            t, k = np.unique(flat.targets[at : at + (1 << 22)], return_counts=True)
+            waits[t] += k
+        free, done, k = np.flatnonzero(waits == 0), 0, 0
+        while len(free):
+            layer[free], done, k, freed = k, done + len(free), k + 1, []
+            for some in pieces(flat.ends[free] - flat.starts[free], 1 << 22):
+                t, n = np.unique(flat.targets[ranges(flat.starts[free[some]], flat.ends[free[some]])], return_counts=True)
+                waits[t] -= n
+                freed.append(t[waits[t] == 0])
+            free = np.concatenate(freed)
+        if done < flat.count:
             raise CycleDetected("cycle")
-        return pd.DataFrame({"id": list(layer), "layer": list(layer.values())}).astype({"id": "int64", "layer": "int32"})
+        return _sliced(flat.ids, layer)
 
     return _single(graph, fn, "id long, layer int", bound)
 
@@ -193,28 +257,28 @@ def topological_any(spark: SparkSession, graph: Graph, bound: int = BOUND) -> Da
 def strong_components(graph: Graph, bound: int = BOUND) -> DataFrame:
     """(id, component) numbered as their roots finish in a depth-first traversal by ids."""
 
-    def fn(ids, out):
-        found, low, at, stack, comp = {}, {}, 0, [], {}
-        n = 0
-        for kind, v, t in _walk(ids, out):
+    def fn(flat):
+        found, low, comp = array("q", bytes(8 * flat.count)), array("q", bytes(8 * flat.count)), np.full(flat.count, -1)
+        number, at, stack, n = memoryview(comp), 0, [], 0
+        for kind, v, t in _walk(flat):
             if kind == "discover":
                 found[v] = low[v] = at
                 at += 1
                 stack.append(v)
-            elif kind in ("back", "forward_or_cross") and t not in comp:
+            elif kind in ("back", "forward_or_cross") and number[t] < 0:
                 low[v] = min(low[v], found[t])
             elif kind == "finish":
-                for w in out[v]:
-                    if w not in comp:
+                for w in flat.to[flat.first[v] : flat.last[v]]:
+                    if number[w] < 0:
                         low[v] = min(low[v], low[w])
                 if low[v] == found[v]:
                     while True:
                         w = stack.pop()
-                        comp[w] = n
+                        number[w] = n
                         if w == v:
                             break
                     n += 1
-        return pd.DataFrame({"id": list(comp), "component": list(comp.values())}, dtype="int64")
+        return _sliced(flat.ids, comp)
 
     return _single(graph, fn, "id long, component long", bound)
 

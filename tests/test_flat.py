@@ -28,3 +28,10 @@ def test_depth_first_events_of_a_large_graph(large):
     g, n = large
     got = kinds(ordering.depth_first(g))
     assert got["examine"] == n and got["finish"] == 1000 and got["tree"] + got["start"] == 1000
+
+
+def test_distance_search_events_of_a_large_graph(large):
+    g, n = large
+    got = kinds(ordering.search_events(g, [0], weight="w"))
+    reached = got["finish"]
+    assert got["examine_edge"] == reached * n // 1000 and got["tree"] == reached - 1

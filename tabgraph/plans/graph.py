@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tabgraph.runtime import Grown, written
 
+from .flat import EDGES, distances, spread
+
 
 class Graph:
     """Ids stay what they are: removing a vertex removes its edges and renumbers nothing. Parallel edges and loops are
@@ -145,10 +147,17 @@ class Graph:
                 break
         return seen.all()
 
-    def path_lengths(self, spark: SparkSession, roots: DataFrame) -> DataFrame:
-        """(id, eccentricity, total, reached, average) of each root; one that reaches nothing has average NaN."""
-        d = self.depths(spark, roots)
-        got = d.groupBy(F.col("root").alias("id")).agg(F.max("depth").cast("long").alias("eccentricity"), F.sum("depth").cast("long").alias("total"), (F.count(F.lit(1)) - 1).alias("reached"))
+    def path_lengths(self, spark: SparkSession, roots: DataFrame, most: int = EDGES) -> DataFrame:
+        """(id, eccentricity, total, reached, average) of each root; one that reaches nothing has average NaN. Up to `most`
+        different edges each task gets them all and searches from its roots, so no row is made for a pair."""
+        e = written(spark, self.both_ways().select("src", "dst").distinct(), "adjacency")
+        if e.count() <= most:
+            n = roots.count()
+            tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-n // 64)))
+            asked = self.vertices.select("id", F.lit(False).alias("asked")).union(roots.select("id", F.lit(True)))
+            got = spread(spark, e, asked, tasks, distances, "id long, eccentricity long, total long, reached long")
+        else:
+            got = self.depths(spark, roots).groupBy(F.col("root").alias("id")).agg(F.max("depth").cast("long").alias("eccentricity"), F.sum("depth").cast("long").alias("total"), (F.count(F.lit(1)) - 1).alias("reached"))
         return got.withColumn("average", F.when(F.col("reached") > 0, F.col("total") / F.col("reached")).otherwise(F.lit(float("nan"))))
 
     def distance_metrics(self, spark: SparkSession) -> DataFrame:

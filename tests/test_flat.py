@@ -35,3 +35,26 @@ def test_distance_search_events_of_a_large_graph(large):
     got = kinds(ordering.search_events(g, [0], weight="w"))
     reached = got["finish"]
     assert got["examine_edge"] == reached * n // 1000 and got["tree"] == reached - 1
+
+
+def test_path_lengths_make_no_row_a_pair(spark, monkeypatch):
+    """Of 300 vertices, in chains with cycles, loops and parallels, in searches of several blocks; some roots, one outside."""
+    import random
+
+    rng = random.Random(4)
+    pairs = [(i, i + 1) for i in range(0, 280)] + [(rng.randrange(280), rng.randrange(280)) for _ in range(60)] + [(5, 5), (7, 8), (500, 3)]
+    g = graph.Graph(spark.range(300).select("id"), spark.createDataFrame(pairs, "src long, dst long"))
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    want = {}
+    for root in [*range(0, 300, 3), 900]:
+        far, layer = {root: 0}, [root]
+        while layer:
+            layer = list({t for v in layer for t in near.get(v, ()) if t not in far})
+            far |= dict.fromkeys(layer, far[root] + 1 + max(far.values()))
+        want[root] = (max(far.values()), sum(far.values()), len(far) - 1)
+    monkeypatch.setattr(graph.Graph, "depths", lambda *a: pytest.fail("a row for each pair"))
+    roots = spark.createDataFrame([(r,) for r in want], "id long")
+    got = g.path_lengths(spark, roots).collect()
+    assert {r.id: (r.eccentricity, r.total, r.reached) for r in got} == want and len(got) == len(want)

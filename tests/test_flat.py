@@ -58,3 +58,13 @@ def test_path_lengths_make_no_row_a_pair(spark, monkeypatch):
     roots = spark.createDataFrame([(r,) for r in want], "id long")
     got = g.path_lengths(spark, roots).collect()
     assert {r.id: (r.eccentricity, r.total, r.reached) for r in got} == want and len(got) == len(want)
+
+
+def test_layers_of_a_large_graph_take_no_rounds(spark, large, monkeypatch):
+    g, n = large
+    monkeypatch.setattr(ordering, "topological_layers", lambda *a: pytest.fail("a round for each layer"))
+    got = ordering.layers_any(spark, g.filter_edges(F.col("dst") == F.col("src") + 1))
+    assert got.count() == 1000
+    e = g.edges.withColumn("dst", F.col("src") + 1 + F.col("eid") % 3)
+    rising = ordering.layers_any(spark, graph.Graph(spark.range(1003).select("id"), e))
+    assert {r.id: r.layer for r in rising.collect()}[999] <= 999 and rising.count() == 1003

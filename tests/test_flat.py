@@ -68,3 +68,11 @@ def test_layers_of_a_large_graph_take_no_rounds(spark, large, monkeypatch):
     e = g.edges.withColumn("dst", F.col("src") + 1 + F.col("eid") % 3)
     rising = ordering.layers_any(spark, graph.Graph(spark.range(1003).select("id"), e))
     assert {r.id: r.layer for r in rising.collect()}[999] <= 999 and rising.count() == 1003
+
+
+def test_order_of_a_large_graph_takes_no_rounds(spark, large, monkeypatch):
+    g, n = large
+    monkeypatch.setattr(ordering, "topological_layers", lambda *a: pytest.fail("a round for each layer"))
+    e = g.edges.withColumn("dst", F.col("src") + 1 + F.col("eid") % 3)
+    got = {r.id: r.place for r in ordering.topological_any(spark, graph.Graph(spark.range(1003).select("id"), e)).collect()}
+    assert sorted(got.values()) == list(range(1003)) and all(got[i] < got[i + 1] for i in range(1000) if i % 3 == 0)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable
+from itertools import chain, islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,38 +100,39 @@ class Pipeline:
     def interleave(self, produced: Column, cycle: int, workers: int | None = None, name: str = "value") -> Pipeline:
         """Each row's array `produced`, interleaved in rounds over `cycle` live producers, of `workers` that are started.
 
-        The order follows from the producers' lengths alone: a schedule is replayed over these (two numbers a producer),
-        in one task, and the elements find their places by a join; the elements themselves never meet there.
+        The order follows from the producers' lengths alone: a schedule is replayed over these, which stream through one task
+        that holds the places of the started producers' elements only; a producer's elements and places meet in a join.
         """
         base = self.numbered().frame.select(AT, produced.alias("__made"))
-        workers = workers or 2 * cycle
+        workers = max(workers or 2 * cycle, cycle)
         lengths = base.select(AT, F.coalesce(F.size("__made"), F.lit(0)).alias("n"))
 
-        def replay(pdf):
-            import pandas as pd
-
-            n = pdf.sort_values(AT)["n"].clip(lower=0).tolist()
-            live, waiting, fed = list(range(min(cycle, len(n)))), list(range(cycle, min(workers, len(n)))), min(workers, len(n))
-            used, who, which = [0] * len(n), [], []
+        def replay(batches):
+            todo = chain.from_iterable(zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for b in batches)
+            start = lambda n: deque((at, n, []) for at, n in islice(todo, n))
+            live, waiting, done, place = start(cycle), start(workers - cycle), [], 0
             while live:
-                k = live.pop(0)
-                if used[k] < n[k]:
-                    who.append(k)
-                    which.append(used[k])
-                    used[k] += 1
-                    live.append(k)
-                else:
-                    if fed < len(n):
-                        waiting.append(fed)
-                        fed += 1
-                    if waiting:
-                        live.append(waiting.pop(0))
-            return pd.DataFrame({"__who": who, "__which": which, "__place": range(len(who))}, dtype="int64")
-
-        order = lengths.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(replay, "__who long, __which long, __place long")
-        made = base.select(F.col(AT).alias("__who"), F.posexplode("__made").alias("__pos", name))
-        joined = made.join(order, (made["__who"] == order["__who"]) & (F.col("__pos") == F.col("__which")))
-        return Pipeline(joined.select(name, F.col("__place").alias(AT)), True)
+                at, n, places = one = live.popleft()
+                if len(places) < n:
+                    places.append(place)
+                    place += 1
+                    live.append(one)
+                    continue
+                if places:
+                    done.append((at, places))
+                waiting += start(1)
+                if waiting:
+                    live.append(waiting.popleft())
+                if len(done) == 8192 or done and len(places) > 8192:
+                    yield _places(done)
+                    done = []
+            if done:
+                yield _places(done)
+
+        order = lengths.repartition(1).sortWithinPartitions(AT).mapInArrow(replay, "__who long, __places array<long>")
+        made = base.select(F.col(AT).alias("__who"), "__made").join(order, "__who")
+        each = made.select(F.explode(F.arrays_zip("__made", "__places")).alias("__e"))
+        return Pipeline(each.select(F.col("__e.__made").alias(name), F.col("__e.__places").alias(AT)), True)
 
     def prefetch(self, n: int = 10) -> Pipeline:
         """Nothing to do: stages run ahead of their consumers anyway."""
@@ -146,6 +150,11 @@ class Pipeline:
         return [tuple(r) if len(r) > 1 else r[0] for r in self.frame.orderBy(AT).drop(AT).collect()]
 
 
+def _places(done: list[tuple[int, list[int]]]) -> pa.RecordBatch:
+    who, places = zip(*done)
+    return pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(places, pa.list_(pa.int64()))], ["__who", "__places"])
+
+
 def attempt(value: Column, fallback: str = "failed") -> Column:
     """struct<value, error>: for expressions by try_* functions, whose null stands for an error."""
     return F.struct(value.alias("value"), F.when(value.isNull(), F.lit(fallback)).alias("error"))

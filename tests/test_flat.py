@@ -76,3 +76,33 @@ def test_order_of_a_large_graph_takes_no_rounds(spark, large, monkeypatch):
     e = g.edges.withColumn("dst", F.col("src") + 1 + F.col("eid") % 3)
     got = {r.id: r.place for r in ordering.topological_any(spark, graph.Graph(spark.range(1003).select("id"), e)).collect()}
     assert sorted(got.values()) == list(range(1003)) and all(got[i] < got[i + 1] for i in range(1000) if i % 3 == 0)
+
+
+def test_interleaving_streams_its_schedule(spark, capsys):
+    """Uneven and empty producers against a plain replay; lengths stream through, they are not gathered in a frame."""
+    import random
+
+    from tabgraph.streaming.pipeline import Pipeline
+
+    rng = random.Random(9)
+    lengths = [rng.choice([0, 0, 1, 2, 5, 40]) for _ in range(300)]
+    for cycle, workers in ((1, None), (3, 4), (4, None), (400, None)):
+        total, live, waiting, want = workers or 2 * cycle, [], [], []
+        todo = [[(k, i) for i in range(n)] for k, n in enumerate(lengths)]
+        live, waiting, rest = todo[:cycle], todo[cycle:total], todo[total:]
+        while live:
+            one = live.pop(0)
+            if one:
+                want.append(one.pop(0))
+                live.append(one)
+                continue
+            if rest:
+                waiting.append(rest.pop(0))
+            if waiting:
+                live.append(waiting.pop(0))
+        p = Pipeline.items(spark, lengths, "int").enumerated("k")
+        made = F.transform(F.sequence(F.lit(1), F.col("value")), lambda i: F.col("k") * 100 + i - 1)
+        out = p.interleave(F.when(F.col("value") > 0, made), cycle, workers)
+        assert out.collect() == [100 * k + i for k, i in want]
+    out.frame.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabgraph.runtime import Grown, written
 
-from .flat import EDGES, distances, spread
+from .flat import EDGES, distances, inside, spread
 
 
 class Graph:
@@ -122,15 +122,21 @@ class Graph:
             e = e.union(self.edges.select(F.col("dst").alias("id"), F.col("src").alias("nb")))
         return e.where("id <> nb").distinct()
 
-    def clustering(self, directed: bool = False) -> DataFrame:
-        """(id, neighbours, inside, coefficient): edges among the neighbours over k (k - 1), 0 for k below 2. Wedges are
-        formed at an edge's ends only: each edge meets the neighbourhoods that hold its source, then its target."""
+    def clustering(self, directed: bool = False, most: int = EDGES) -> DataFrame:
+        """(id, neighbours, inside, coefficient): edges among the neighbours over k (k - 1), 0 for k below 2. Up to `most` edges
+        each task gets them all and counts for its vertices; beyond, and with `directed`, wedges are formed at an edge's ends
+        only: each edge meets the neighbourhoods that hold its source, then its target."""
+        spark = self.vertices.sparkSession
+        if not directed and (e := self.both_ways().where("src <> dst").select("src", "dst")).count() <= most:
+            tasks = spark.sparkContext.defaultParallelism
+            got = spread(spark, e, self.vertices.select("id", F.lit(True).alias("asked")), tasks, inside, "id long, neighbours long, inside long")
+            return got.withColumn("coefficient", F.when(F.col("neighbours") > 1, F.col("inside") / (F.col("neighbours") * (F.col("neighbours") - 1))).otherwise(0.0))
         n = self.neighbourhoods(directed)
         e = self.both_ways().where("src <> dst").select("src", "dst")
         half = e.join(n.select(F.col("nb").alias("src"), "id"), "src")
-        inside = half.join(n.select("id", F.col("nb").alias("dst")), ["id", "dst"]).groupBy("id").agg(F.count(F.lit(1)).alias("inside"))
+        among = half.join(n.select("id", F.col("nb").alias("dst")), ["id", "dst"]).groupBy("id").agg(F.count(F.lit(1)).alias("inside"))
         k = n.groupBy("id").agg(F.count(F.lit(1)).alias("neighbours"))
-        got = self.vertices.select("id").join(k, "id", "left").join(inside, "id", "left").select("id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("neighbours", "inside")))
+        got = self.vertices.select("id").join(k, "id", "left").join(among, "id", "left").select("id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("neighbours", "inside")))
         return got.withColumn("coefficient", F.when(F.col("neighbours") > 1, F.col("inside") / (F.col("neighbours") * (F.col("neighbours") - 1))).otherwise(0.0))
 
     def depths(self, spark: SparkSession, roots: DataFrame, rounds: int = 10_000) -> DataFrame:

@@ -106,3 +106,17 @@ def test_interleaving_streams_its_schedule(spark, capsys):
         assert out.collect() == [100 * k + i for k, i in want]
     out.frame.explain()
     assert "FlatMapGroups" not in capsys.readouterr().out
+
+
+def test_clustering_forms_no_wedges(spark, monkeypatch):
+    import random
+
+    rng = random.Random(6)
+    pairs = [(rng.randrange(30), rng.randrange(30)) for _ in range(300)] + [(40, 40), (41, 3), (3, 3)]
+    g = graph.Graph(spark.range(50).select("id"), spark.createDataFrame(pairs, "src long, dst long"))
+    wedges = {tuple(r) for r in g.clustering(most=0).collect()}
+    monkeypatch.setattr(graph.Graph, "neighbourhoods", lambda *a: pytest.fail("a row for each wedge"))
+    got = g.clustering().collect()
+    assert {tuple(r) for r in got} == wedges and len(got) == 50
+    near = {v: {b for a, b in pairs if a == v != b} for v in range(50)}
+    assert {r.id: r.inside for r in got} == {v: sum(a != b and a in near[v] and b in near[v] for a, b in pairs) for v in range(50)}

@@ -120,3 +120,16 @@ def test_clustering_forms_no_wedges(spark, monkeypatch):
     assert {tuple(r) for r in got} == wedges and len(got) == 50
     near = {v: {b for a, b in pairs if a == v != b} for v in range(50)}
     assert {r.id: r.inside for r in got} == {v: sum(a != b and a in near[v] and b in near[v] for a, b in pairs) for v in range(50)}
+
+
+def test_exact_neighbours_keep_ties_and_points_pass_once_a_task(spark, capsys):
+    from tabgraph.plans import knn
+
+    points = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(140)]
+    df = spark.createDataFrame(points, "id long, v array<double>").repartition(3)
+    got = knn.exact(df, 4, "euclid", df.where("id % 3 = 0"), block=10)
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    want = {(i, r + 1): j for i, v in points if i % 3 == 0 for r, (_, j) in enumerate(sorted((far(v, w), j) for j, w in points if j != i)[:4])}
+    assert {(r.src, r["rank"]): r.dst for r in got.collect()} == want
+    got.explain()
+    assert "FlatMapGroups" not in capsys.readouterr().out

@@ -133,3 +133,12 @@ def test_exact_neighbours_keep_ties_and_points_pass_once_a_task(spark, capsys):
     assert {(r.src, r["rank"]): r.dst for r in got.collect()} == want
     got.explain()
     assert "FlatMapGroups" not in capsys.readouterr().out
+
+
+def test_no_neighbour_graph_where_none_can_be_walked(spark, monkeypatch):
+    from tabgraph.plans import knn
+
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "id long, v array<double>")
+    monkeypatch.setattr(knn, "written", lambda *a: pytest.fail("a graph of all points"))
+    got = knn.walked(spark, df, df.where("id < 3"), 2, 5, "euclid", most=100).collect()
+    assert sorted((r.src, r.dst) for r in got) == [(0, 1), (0, 2), (1, 0), (1, 2), (2, 1), (2, 3)]
